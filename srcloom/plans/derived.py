@@ -140,10 +140,10 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def perturb(body_all: str, body_some: str) -> str:
+def perturb(body_all: str, body_sparse: str) -> str:
     """The migrated text of an order, damaged in a known way per status and priority."""
     by_status = f"""case o_orderstatus
-        when 'O' then concat({PAIR_HEADER}, {body_some})
+        when 'O' then concat({PAIR_HEADER}, {body_sparse})
         when 'P' then concat({PAIR_HEADER}, {body_all}, 'fn tail() {{ let p = NULL;', chr(10))
         else concat({PAIR_HEADER}, {body_all}) end"""
     return f"""case o_orderpriority
@@ -157,7 +157,7 @@ def migration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _JOINED.format(source_function("f.pk", "f.sk", "f.q", "f.flag"))
     rust = rust_function("f.pk", "f.sk", "f.q", "f.flag")
     every = _JOINED.format(rust)
-    some = f"array_join(transform(filter(coalesce(functions, array()), (f, i) -> i % 4 = 0), f -> {rust}), '')"
+    sparse = f"array_join(transform(filter(coalesce(functions, array()), (f, i) -> i % 4 = 0), f -> {rust}), '')"
     return order_functions(spark, sf_dir).selectExpr(
         "o_orderkey as pair_id",
         "concat('d', o_orderkey % 100) as project",
@@ -166,7 +166,7 @@ def migration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{LANGUAGE} as source_language",
         "'rust' as target_language",
         f"concat({file_header()}, {source}, {FILE_FOOTER}) as source",
-        f"{perturb(every, some)} as migrated",
+        f"{perturb(every, sparse)} as migrated",
     )
 
 
@@ -191,10 +191,10 @@ def sql_migration_pairs() -> str:
       select o_orderkey, any_value(o_orderstatus) as o_orderstatus, any_value(o_orderpriority) as o_orderpriority,
         coalesce(string_agg({source_function(*_ITEM)}, '' order by fn_no) filter (where l_orderkey is not null), '') as src,
         coalesce(string_agg({rust_function(*_ITEM)}, '' order by fn_no) filter (where l_orderkey is not null), '') as every,
-        coalesce(string_agg({rust_function(*_ITEM)}, '' order by fn_no) filter (where l_orderkey is not null and fn_no % 4 = 0), '') as some
+        coalesce(string_agg({rust_function(*_ITEM)}, '' order by fn_no) filter (where l_orderkey is not null and fn_no % 4 = 0), '') as sparse
       from orders left join numbered on l_orderkey = o_orderkey group by o_orderkey),
     pairs as (
       select o_orderkey as pair_id, concat('d', o_orderkey % 100) as project, {PATH} as path,
         concat({STEM}, '::all') as segment_id, {LANGUAGE} as source_language, 'rust' as target_language,
-        concat({file_header()}, src, {FILE_FOOTER}) as source, {perturb("every", "some")} as migrated
+        concat({file_header()}, src, {FILE_FOOTER}) as source, {perturb("every", "sparse")} as migrated
       from texts)"""
