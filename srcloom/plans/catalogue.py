@@ -1,4 +1,4 @@
 """All named queries."""
 
-from srcloom.plans import job_queries, pair_queries, state_queries, structure_queries  # noqa: F401
+from srcloom.plans import job_queries, pair_queries, rewrite_queries, state_queries, structure_queries  # noqa: F401
 from srcloom.plans.registry import ORACLES, QUERIES  # noqa: F401
