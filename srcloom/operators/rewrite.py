@@ -8,7 +8,7 @@ file's row; the log of a rewrite is a column beside the text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +46,6 @@ class LineRule:
     name: str
     new_line: Callable[[Column], Column]
     version: int = 0
-    known: str = field(default="", compare=False)
 
 
 def _steps(*pairs: tuple[str, str]) -> tuple[Step, ...]:
@@ -61,6 +60,12 @@ def differing_lines(before: Column, after: Column) -> Column:
     return F.size(F.filter(differ, lambda d: d))
 
 
+def _apply_to_lines(text: Column, rule: LineRule) -> Column:
+    return F.transform(
+        T.split_lines(text), lambda x: F.struct(x.alias("old"), rule.new_line(x).alias("new"))
+    )
+
+
 def rewrite(files: DataFrame, rules: list[TextRule | LineRule], text: str = "content") -> DataFrame:
     """Adds ``rewritten`` and ``rewrite_log``, one entry per rule in order."""
     out = files.withColumn("rewritten", F.col(text))
@@ -69,11 +74,7 @@ def rewrite(files: DataFrame, rules: list[TextRule | LineRule], text: str = "con
         before, changes = f"__before_{i}", f"__changes_{i}"
         out = out.withColumn(before, F.col("rewritten"))
         if isinstance(rule, LineRule):
-            lines = F.transform(
-                T.split_lines(F.col("rewritten")),
-                lambda x, r=rule: F.struct(x.alias("old"), r.new_line(x).alias("new")),
-            )
-            out = out.withColumn("__lines", lines)
+            out = out.withColumn("__lines", _apply_to_lines(F.col("rewritten"), rule))
             out = out.withColumn(
                 changes, F.size(F.filter("__lines", lambda x: x["new"].isNotNull()))
             ).withColumn(

@@ -1,4 +1,11 @@
 """All named queries."""
 
-from srcloom.plans import job_queries, pair_queries, rewrite_queries, state_queries, structure_queries  # noqa: F401
+from srcloom.plans import (  # noqa: F401
+    job_queries,
+    pair_queries,
+    prompt_queries,
+    rewrite_queries,
+    state_queries,
+    structure_queries,
+)
 from srcloom.plans.registry import ORACLES, QUERIES  # noqa: F401
