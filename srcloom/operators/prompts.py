@@ -58,7 +58,7 @@ def with_hint(rewritten: DataFrame, prompt: str) -> DataFrame:
 
 
 # Characters Unicode keeps for internal use stand for the two kinds of tag lines.
-_OPEN, _CLOSE = "﷐", "﷑"
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 
 def clean_response(text: Column) -> Column:
