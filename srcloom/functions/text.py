@@ -16,6 +16,7 @@ WORD = r"\p{L}\p{N}_"
 SPACE = r" \n\t\r\f\x0B\x1C\x1D\x1E\x1F\x85\p{Z}"
 W = f"[{WORD}]"
 S = f"[{SPACE}]"
+NOT_S = f"[^{SPACE}]"
 WB = f"(?<!{W})"  # word boundary before a word
 WE = f"(?!{W})"  # word boundary after a word
 # (?md): ^ and $ stop at \n only.
@@ -207,11 +208,12 @@ def block_end(idx: Column, start_line: Column) -> Column:
     tail = parts(idx["braces"], "\n", start_line - idx["n_lines"] - 1)
 
     def from_tail(t: Column) -> Column:
-        first = F.substring(F.ltrim(t, F.lit("\n")), 1, 1)
+        return let(F.substring(F.ltrim(t, F.lit("\n")), 1, 1), lambda first: end_line(t, first))
+
+    def end_line(t: Column, first: Column) -> Column:
         closing = F.translate(first, _OPENS, _CLOSES)
-        within = parts(t, closing, 1)
         lines = F.when(
-            first.rlike(f"[{_OPENS}]"), count_newlines(within)
+            (first != "") & first.isin(*_OPENS), count_newlines(parts(t, closing, 1))
         ).otherwise(_fold_block_end(t))
         return F.coalesce(
             start_line + lines, F.least(start_line + (OPEN_BLOCK_LINES - 1), idx["n_lines"])

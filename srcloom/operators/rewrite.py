@@ -23,11 +23,13 @@ ONCE = "once"
 @dataclass(frozen=True)
 class Step:
     """``count`` says what adds to the changes: the matches of the pattern (None),
-    of another pattern, ``ONCE`` for any match, or nothing ("")."""
+    of another pattern, ``ONCE`` for any match, or nothing (""). ``needs`` is a
+    text every match holds: without it no pattern is run, which is the usual case."""
 
     pattern: str
     replacement: str
     count: str | None = None
+    needs: str = ""
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,9 @@ class LineRule:
     version: int = 0
 
 
-def _steps(*pairs: tuple[str, str]) -> tuple[Step, ...]:
-    return tuple(Step(p, r) for p, r in pairs)
+def _steps(*rows: tuple[str, ...]) -> tuple[Step, ...]:
+    """Steps from (pattern, replacement) or (pattern, replacement, needed text)."""
+    return tuple(Step(r[0], r[1], needs=r[2] if len(r) > 2 else "") for r in rows)
 
 
 def differing_lines(before: Column, after: Column) -> Column:
@@ -92,12 +95,11 @@ def rewrite(files: DataFrame, rules: list[TextRule | LineRule], text: str = "con
                     hits = T.count_matches(current, step.pattern)
                 else:
                     hits = F.when(current.rlike(step.pattern), T.count_matches(current, step.count)).otherwise(0)
-                out = out.withColumns(
-                    {
-                        changes: F.col(changes) + hits,
-                        "rewritten": F.regexp_replace(current, step.pattern, step.replacement),
-                    }
-                )
+                changed = F.regexp_replace(current, step.pattern, step.replacement)
+                if step.needs:
+                    present = current.contains(step.needs)
+                    hits, changed = F.when(present, hits).otherwise(0), F.when(present, changed).otherwise(current)
+                out = out.withColumns({changes: F.col(changes) + hits, "rewritten": changed})
             if rule.by_lines:
                 out = out.withColumn(changes, differing_lines(F.col(before), F.col("rewritten")))
         log.append(
@@ -218,6 +220,7 @@ COBOL_VERBS = [
     (rf"(?i)^{S}*PERFORM{S}+{_N}{_END}", "    $1();"),
 ]
 _ANY_VERB = rf"(?i)^{S}*(?:DISPLAY|MOVE|ADD|SUBTRACT|MULTIPLY|COMPUTE|STOP|PERFORM){S}"
+_ANY_CONTROL = rf"(?i)^{S}*(?:IF|ELSE|END-IF|PERFORM|EVALUATE|WHEN|END-EVALUATE)(?:{S}|\.|$)"
 COBOL_CONDITIONS = [
     (rf"(?i){WB}NOT{S}+EQUAL{S}+TO{WE}", "!="),
     (rf"(?i){WB}GREATER{S}+THAN{WE}", ">"),
@@ -247,7 +250,7 @@ def cobol_condition(condition: Column) -> Column:
 
 
 def _control_line(line: Column) -> Column:
-    word = F.upper(T.strip(line))
+    word = lambda *names: line.rlike(rf"(?i)^{S}*(?:{'|'.join(names)})\.?{S}*$")
     is_if = rf"(?is)^{S}*IF{S}+(.+?){_END}"
     until = rf"(?is)^{S}*PERFORM{S}+{_N}{S}+UNTIL{S}+(.+?){_END}"
     evaluate = rf"(?i)^{S}*EVALUATE{S}+{_N}{_END}"
@@ -259,13 +262,13 @@ def _control_line(line: Column) -> Column:
         .when(value.rlike(r"^[+-]?\p{Nd}+(_\p{Nd}+)*$"), F.concat(F.lit("        "), value, F.lit(" => {")))
         .otherwise(F.concat(F.lit('        "'), value, F.lit('" => {')))
     )
-    return (
+    chosen = (
         F.when(
-            line.rlike(is_if) & ~word.contains("END-IF"),
+            line.rlike(is_if) & ~line.rlike("(?i)END-IF"),
             F.concat(F.lit("    if "), cobol_condition(get(is_if, 1)), F.lit(" {")),
         )
-        .when(word.isin("ELSE", "ELSE."), F.lit("    } else {"))
-        .when(word.isin("END-IF", "END-IF."), F.lit("    }"))
+        .when(word("ELSE"), F.lit("    } else {"))
+        .when(word("END-IF"), F.lit("    }"))
         .when(
             line.rlike(until),
             F.concat(
@@ -275,8 +278,9 @@ def _control_line(line: Column) -> Column:
         )
         .when(line.rlike(evaluate), F.concat(F.lit("    match "), hyphens_to_snake(get(evaluate, 1)), F.lit(" {")))
         .when(line.rlike(when), arm)
-        .when(word.isin("END-EVALUATE", "END-EVALUATE."), F.lit("    }"))
+        .when(word("END-EVALUATE"), F.lit("    }"))
     )
+    return F.when(line.rlike(_ANY_CONTROL), chosen)
 
 
 COBOL_RULES = [
@@ -389,7 +393,7 @@ CPP_TYPES = TextRule(
     "cpp_types_to_rust",
     _steps(
         *[
-            (rf"{WB}{a.replace(' ', S + '+')}{WE}", b)
+            (rf"{WB}{a.replace(' ', S + '+')}{WE}", b, a.split(" ")[-1])
             for a, b in [
                 ("unsigned long long", "u64"), ("long long", "i64"), ("unsigned long", "u64"),
                 ("unsigned int", "u32"), ("unsigned char", "u8"), ("long double", "f64"), ("long", "i64"),
@@ -397,14 +401,14 @@ CPP_TYPES = TextRule(
                 ("int", "i32"), ("void", "()"), ("std::string", "String"), ("string", "String"),
             ]
         ],
-        (rf"{WB}std::vector<([^>]+)>", "Vec<$1>"),
-        (rf"{WB}vector<([^>]+)>", "Vec<$1>"),
-        (rf"{WB}std::map<([^,]+),{S}*([^>]+)>", "HashMap<$1, $2>"),
-        (rf"{WB}std::set<([^>]+)>", "HashSet<$1>"),
-        (rf"{WB}nullptr{WE}", "None"),
-        (rf"{WB}NULL{WE}", "None"),
-        (rf"{WB}true{WE}", "true"),
-        (rf"{WB}false{WE}", "false"),
+        (rf"{WB}std::vector<([^>]+)>", "Vec<$1>", "vector<"),
+        (rf"{WB}vector<([^>]+)>", "Vec<$1>", "vector<"),
+        (rf"{WB}std::map<([^,]+),{S}*([^>]+)>", "HashMap<$1, $2>", "std::map<"),
+        (rf"{WB}std::set<([^>]+)>", "HashSet<$1>", "std::set<"),
+        (rf"{WB}nullptr{WE}", "None", "nullptr"),
+        (rf"{WB}NULL{WE}", "None", "NULL"),
+        (rf"{WB}true{WE}", "true", "true"),
+        (rf"{WB}false{WE}", "false", "false"),
     ),
     by_lines=True,
 )
@@ -451,13 +455,13 @@ CPP_OUTPUT = LineRule("cpp_output_to_rust", _output_line)
 CPP_MEMORY = TextRule(
     "cpp_memory_to_rust",
     (
-        Step(rf"{WB}new{S}+({W}+)\(([^)]*)\)", "Box::new($1::new($2))", rf"{WB}new{S}+{W}+\("),
-        Step(rf"{WB}new{S}+({W}+)\[([^\]]+)\]", "vec![0; $2]", ONCE),
-        Step(rf"{WB}delete{S}*(?:\[\])?{S}*({W}+){S}*;", "drop($1);", rf"{WB}delete{WE}"),
-        Step(rf"{WB}std::unique_ptr<({W}+)>", "Box<$1>", ""),
-        Step(rf"{WB}std::shared_ptr<({W}+)>", "Arc<$1>", ""),
-        Step(rf"{WB}std::make_unique<({W}+)>\(([^)]*)\)", "Box::new($1::new($2))", ""),
-        Step(rf"{WB}std::make_shared<({W}+)>\(([^)]*)\)", "Arc::new($1::new($2))", ""),
+        Step(rf"{WB}new{S}+({W}+)\(([^)]*)\)", "Box::new($1::new($2))", rf"{WB}new{S}+{W}+\(", needs="new"),
+        Step(rf"{WB}new{S}+({W}+)\[([^\]]+)\]", "vec![0; $2]", ONCE, needs="new"),
+        Step(rf"{WB}delete{S}*(?:\[\])?{S}*({W}+){S}*;", "drop($1);", rf"{WB}delete{WE}", needs="delete"),
+        Step(rf"{WB}std::unique_ptr<({W}+)>", "Box<$1>", "", needs="unique_ptr"),
+        Step(rf"{WB}std::shared_ptr<({W}+)>", "Arc<$1>", "", needs="shared_ptr"),
+        Step(rf"{WB}std::make_unique<({W}+)>\(([^)]*)\)", "Box::new($1::new($2))", "", needs="make_unique"),
+        Step(rf"{WB}std::make_shared<({W}+)>\(([^)]*)\)", "Arc::new($1::new($2))", "", needs="make_shared"),
     ),
 )
 HARD_CPP_RULES = [CPP_TYPES, CPP_OUTPUT, CPP_MEMORY]
@@ -477,53 +481,53 @@ _DEFAULT = "\u0002"
 
 def _resolve_types() -> tuple[Step, ...]:
     """Types caught by a rule stand between marks; look them up and drop the marks."""
-    named_types = [Step(f"{_TYPED}{a}{_TYPED}", b, "") for a, b in TRANSFORM_TYPES.items() if " " not in a]
-    return (*named_types, Step(_TYPED, "", ""))
+    named_types = [Step(f"{_TYPED}{a}{_TYPED}", b, "", _TYPED) for a, b in TRANSFORM_TYPES.items() if " " not in a]
+    return (*named_types, Step(_TYPED, "", "", _TYPED))
 
 
 _PTR = rf"{S}*\*{S}*"
 TRANSFORM_MEMORY = TextRule(
     "Memory Management → Ownership",
     (
-        Step(rf"{ML}^({S}*)({W}+){_PTR}({W}+){S}*={S}*new{S}+{W}+\(([^)]*)\);", f"$1let $3: Box<{_TYPED}$2{_TYPED}> = Box::new($4);"),
-        Step(rf"{ML}^({S}*)delete{S}+({W}+);", "$1drop($2);"),
-        Step(rf"{ML}^({S}*)delete{S}*\[\]{S}*({W}+);", "$1drop($2);"),
+        Step(rf"{ML}^({S}*)({W}+){_PTR}({W}+){S}*={S}*new{S}+{W}+\(([^)]*)\);", f"$1let $3: Box<{_TYPED}$2{_TYPED}> = Box::new($4);", needs="new"),
+        Step(rf"{ML}^({S}*)delete{S}+({W}+);", "$1drop($2);", needs="delete"),
+        Step(rf"{ML}^({S}*)delete{S}*\[\]{S}*({W}+);", "$1drop($2);", needs="delete"),
         Step(
             rf"{ML}^({S}*)std::unique_ptr<({W}+)>{S}+({W}+){S}*={S}*std::make_unique<{W}+>\(([^)]*)\);",
-            f"$1let $3: Box<{_TYPED}$2{_TYPED}> = Box::new($4);",
+            f"$1let $3: Box<{_TYPED}$2{_TYPED}> = Box::new($4);", needs="make_unique",
         ),
         Step(
             rf"{ML}^({S}*)std::shared_ptr<({W}+)>{S}+({W}+){S}*={S}*std::make_shared<{W}+>\(([^)]*)\);",
-            f"$1let $3: Rc<{_TYPED}$2{_TYPED}> = Rc::new($4);",
+            f"$1let $3: Rc<{_TYPED}$2{_TYPED}> = Rc::new($4);", needs="make_shared",
         ),
-        Step(rf"{WB}nullptr{WE}", "None", ONCE),
+        Step(rf"{WB}nullptr{WE}", "None", ONCE, needs="nullptr"),
         *_resolve_types(),
     ),
 )
 TRANSFORM_POINTERS = TextRule(
     "Raw Pointers → Safe References",
     (
-        Step(rf"(?d)const{S}+({W}+){_PTR}({W}+){S}*={S}*(.+?);", f"let $2: &{_TYPED}$1{_TYPED} = $3;"),
-        Step(rf"{ML}^({S}*)({W}+){_PTR}({W}+){S}*={S}*&({W}+);", f"$1let $3: &mut {_TYPED}$2{_TYPED} = &mut $4;"),
+        Step(rf"(?d)const{S}+({W}+){_PTR}({W}+){S}*={S}*(.+?);", f"let $2: &{_TYPED}$1{_TYPED} = $3;", needs="const"),
+        Step(rf"{ML}^({S}*)({W}+){_PTR}({W}+){S}*={S}*&({W}+);", f"$1let $3: &mut {_TYPED}$2{_TYPED} = &mut $4;", needs="&"),
         Step(
             rf"{ML}^({S}*)({W}+){_PTR}({W}+){S}*={S}*new{S}+{W}+\[(.+?)\];",
-            f"$1let mut $3: Vec<{_TYPED}$2{_TYPED}> = vec![{_DEFAULT}{_TYPED}$2{_TYPED}{_DEFAULT}; $4];",
+            f"$1let mut $3: Vec<{_TYPED}$2{_TYPED}> = vec![{_DEFAULT}{_TYPED}$2{_TYPED}{_DEFAULT}; $4];", needs="new",
         ),
         *_resolve_types(),
-        Step(f"{_DEFAULT}(?:{_ZERO_TYPES}){_DEFAULT}", "0", ""),
-        Step(f"{_DEFAULT}[^{_DEFAULT}]*{_DEFAULT}", "Default::default()", ""),
+        Step(f"{_DEFAULT}(?:{_ZERO_TYPES}){_DEFAULT}", "0", "", _DEFAULT),
+        Step(f"{_DEFAULT}[^{_DEFAULT}]*{_DEFAULT}", "Default::default()", "", _DEFAULT),
     ),
 )
 TRANSFORM_STRINGS = TextRule(
     "std::string → String/&str",
     (
-        Step(rf'{ML}^({S}*)std::string{S}+({W}+){S}*={S}*("(?:[^"\\]|\\.)*");', "$1let $2: String = String::from($3);"),
-        Step(rf"{ML}^({S}*)std::string{S}+({W}+){S}*={S}*({W}+);", "$1let $2: String = $3.clone();"),
+        Step(rf'{ML}^({S}*)std::string{S}+({W}+){S}*={S}*("(?:[^"\\]|\\.)*");', "$1let $2: String = String::from($3);", needs="std::string"),
+        Step(rf"{ML}^({S}*)std::string{S}+({W}+){S}*={S}*({W}+);", "$1let $2: String = $3.clone();", needs="std::string"),
         Step(r"\.(?:length|size)\(\)", ".len()", ONCE),
-        Step(r"\.append\(([^)]+)\)", ".push_str($1)", ONCE),
-        Step(r"\.c_str\(\)", ".as_str()", ONCE),
-        Step(r"\.empty\(\)", ".is_empty()", ONCE),
-        Step(rf"std::to_string\(({W}+)\)", "$1.to_string()", ONCE),
+        Step(r"\.append\(([^)]+)\)", ".push_str($1)", ONCE, needs=".append"),
+        Step(r"\.c_str\(\)", ".as_str()", ONCE, needs=".c_str"),
+        Step(r"\.empty\(\)", ".is_empty()", ONCE, needs=".empty"),
+        Step(rf"std::to_string\(({W}+)\)", "$1.to_string()", ONCE, needs="std::to_string"),
     ),
 )
 TRANSFORM_LOOPS = TextRule(
@@ -531,11 +535,11 @@ TRANSFORM_LOOPS = TextRule(
     _steps(
         (
             rf"for{S}*\({S}*(?:int|size_t|unsigned){S}+({W}+){S}*={S}*({W}+){S}*;{S}*\1{S}*<{S}*({W}+){S}*;{S}*\1{S}*\+\+{S}*\)",
-            "for $1 in $2..$3",
+            "for $1 in $2..$3", "for",
         ),
-        (rf"for{S}*\({S}*(?:const{S}+)?(?:auto|({W}+)){S}*&{S}*({W}+){S}*:{S}*({W}+){S}*\)", "for $2 in &$3"),
-        (rf"for{S}*\({S}*(?:const{S}+)?auto{S}+({W}+){S}*:{S}*({W}+){S}*\)", "for $1 in $2"),
-        (rf"(?d)while{S}*\({S}*(.+?){S}*\){S}*\{{", "while $1 {"),
+        (rf"for{S}*\({S}*(?:const{S}+)?(?:auto|({W}+)){S}*&{S}*({W}+){S}*:{S}*({W}+){S}*\)", "for $2 in &$3", "for"),
+        (rf"for{S}*\({S}*(?:const{S}+)?auto{S}+({W}+){S}*:{S}*({W}+){S}*\)", "for $1 in $2", "for"),
+        (rf"(?d)while{S}*\({S}*(.+?){S}*\){S}*\{{", "while $1 {", "while"),
     ),
 )
 _TYPEDEF = rf"(?d)^({S}*)typedef{S}+(.+?){S}+({W}+);"
@@ -615,22 +619,22 @@ def enum_values(files: DataFrame) -> DataFrame:
 JAVA_COLLECTIONS_HARD = TextRule(
     "java_collections_modern",
     _steps(
-        (r"Arrays\.asList\(([^)]*)\)", "List.of($1)"), (r"Collections\.emptyList\(\)", "List.of()"),
-        (r"Collections\.emptyMap\(\)", "Map.of()"), (r"Collections\.emptySet\(\)", "Set.of()"),
-        (r"Collections\.singletonList\(([^)]+)\)", "List.of($1)"), (r"Collections\.singleton\(([^)]+)\)", "Set.of($1)"),
+        (r"Arrays\.asList\(([^)]*)\)", "List.of($1)", "asList"), (r"Collections\.emptyList\(\)", "List.of()", "emptyList"),
+        (r"Collections\.emptyMap\(\)", "Map.of()", "emptyMap"), (r"Collections\.emptySet\(\)", "Set.of()", "emptySet"),
+        (r"Collections\.singletonList\(([^)]+)\)", "List.of($1)", "singletonList"), (r"Collections\.singleton\(([^)]+)\)", "Set.of($1)", "singleton"),
     ),
 )
 JAVA_COLLECTIONS = TextRule(
     "collection_factory",
     tuple(
-        Step(p, r, ONCE)
-        for p, r in [
-            (r"Arrays\.asList\(([^)]*)\)", "List.of($1)"),
-            (rf"Collections\.unmodifiableList\({S}*List\.of\(([^)]*)\){S}*\)", "List.of($1)"),
-            (rf"Collections\.unmodifiableSet\({S}*new{S}+HashSet<[^>]*>\(List\.of\(([^)]*)\)\){S}*\)", "Set.of($1)"),
-            (rf"new{S}+HashSet<[^>]*>\({S}*List\.of\(([^)]*)\){S}*\)", "Set.of($1)"),
-            (r"Collections\.emptyList\(\)", "List.of()"), (r"Collections\.emptySet\(\)", "Set.of()"),
-            (r"Collections\.emptyMap\(\)", "Map.of()"), (r"Collections\.singletonList\(([^)]*)\)", "List.of($1)"),
+        Step(p, r, ONCE, n)
+        for p, r, n in [
+            (r"Arrays\.asList\(([^)]*)\)", "List.of($1)", "asList"),
+            (rf"Collections\.unmodifiableList\({S}*List\.of\(([^)]*)\){S}*\)", "List.of($1)", "unmodifiableList"),
+            (rf"Collections\.unmodifiableSet\({S}*new{S}+HashSet<[^>]*>\(List\.of\(([^)]*)\)\){S}*\)", "Set.of($1)", "unmodifiableSet"),
+            (rf"new{S}+HashSet<[^>]*>\({S}*List\.of\(([^)]*)\){S}*\)", "Set.of($1)", "HashSet"),
+            (r"Collections\.emptyList\(\)", "List.of()", "emptyList"), (r"Collections\.emptySet\(\)", "Set.of()", "emptySet"),
+            (r"Collections\.emptyMap\(\)", "Map.of()", "emptyMap"), (r"Collections\.singletonList\(([^)]*)\)", "List.of($1)", "singletonList"),
         ]
     ),
     version=9,
@@ -651,8 +655,8 @@ def _var_steps() -> tuple[Step, ...]:
     for declared, built in pairs:
         head, tail = rf"{ML}^({S}+){declared}", rf"({S}*\([^)]*\){S}*;)"
         # A diamond takes the declared generics.
-        steps.append(Step(rf"{head}(<[^>]+>){S}+({W}+{S}*={S}*new ({built}))<>{tail}", "$1var $4$3$6"))
-        steps.append(Step(rf"{head}(?:<[^>]+>)?{S}+({W}+{S}*={S}*new{S}+{built}(?:<[^>]*>)?{S}*\([^)]*\){S}*;)", "$1var $3"))
+        steps.append(Step(rf"{head}(<[^>]+>){S}+({W}+{S}*={S}*new ({built}))<>{tail}", "$1var $4$3$6", needs="new"))
+        steps.append(Step(rf"{head}(?:<[^>]+>)?{S}+({W}+{S}*={S}*new{S}+{built}(?:<[^>]*>)?{S}*\([^)]*\){S}*;)", "$1var $3", needs="new"))
     return tuple(steps)
 
 
@@ -662,7 +666,7 @@ JAVA_INSTANCEOF = TextRule(
     _steps(
         (
             rf"if{S}*\({S}*({W}+){S}+instanceof{S}+({W}+){S}*\){S}*\{{({S}*)\2{S}+({W}+){S}*={S}*\(\2\){S}*\1{S}*;",
-            "if ($1 instanceof $2 $4) {$3",
+            "if ($1 instanceof $2 $4) {$3", "instanceof",
         )
     ),
     version=16,

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from srcloom.functions import text as T
 from srcloom.operators.symbols import explode_rows
 
-# What marks a header line, what opens a comment line.
-HEADER_MARKS = ("#include", "import ", "use ", "COPY ", "package ")
-COMMENT_STARTS = ("//", "/*", "*")
+# What marks a header line and what opens a comment line. A word
+# counts only with something after it, as in a line without its outer blanks.
+HEADER_LINE = (
+    rf"#include|(?:import |use |COPY |package ).*{T.NOT_S}|^{T.S}*+(?://|/\*|\*)"
+)
 
 SEGMENT = (
     "struct<name:string,id_part:string,kind:string,code:string,start_line:int,end_line:int,"
@@ -44,12 +46,7 @@ def header_segment(lines: Column, imports: Column) -> Column:
     """First header line up to the first other line that is not blank."""
 
     def line_class(line: Column) -> Column:
-        s = T.strip(line)
-        marked = s.rlike("|".join(HEADER_MARKS))
-        comment = F.lit(False)
-        for start in COMMENT_STARTS:
-            comment = comment | s.startswith(start)
-        return F.when(marked | comment, 2).when(s == "", 1).otherwise(0)
+        return F.when(line.rlike(HEADER_LINE), 2).when(line.rlike(T.NOT_S), 0).otherwise(1)
 
     def cut(classes: Column) -> Column:
         first = F.array_position(classes, F.lit(2)).cast("int")
@@ -172,8 +169,12 @@ def with_segments(analysed: DataFrame) -> DataFrame:
 
 def segment_corpus(analysed: DataFrame, *keep: str) -> DataFrame:
     """Flat segments. ``path`` is part of the key: equal stems may meet in one id."""
+    return segment_rows(with_segments(analysed), *keep)
+
+
+def segment_rows(nested: DataFrame, *keep: str) -> DataFrame:
     rows = explode_rows(
-        with_segments(analysed), "path", "stem", "language", *keep,
+        nested, "path", "stem", "language", *keep,
         array="segments", position="seg_ord", value="s",
     )
     return rows.select(

@@ -153,8 +153,7 @@ def cobol_paragraphs(content: Column, idx: Column, drop_end_verbs: bool = False)
         return F.transform(hits, one)
 
     def kept(symbol: Column) -> Column:
-        upper = F.upper(symbol["name"])
-        keep = ~upper.rlike("|".join(NOT_PARAGRAPHS))
+        keep = ~symbol["name"].rlike("(?i)" + "|".join(NOT_PARAGRAPHS))
         return keep & ~symbol["name"].rlike(COBOL_END_VERB) if drop_end_verbs else keep
 
     return F.filter(T.let(T.match_table(content, COBOL_PARAGRAPH), bounded), kept)
@@ -206,7 +205,7 @@ def globals_of(language: Column, content: Column, symbols: Column) -> Column:
     )
     cpp = F.transform(outside, lambda g: F.regexp_extract(g["text"], CPP_GLOBAL, 2))
     cobol = F.filter(
-        T.find_all(content, COBOL_VARIABLE, 1), lambda v: ~F.upper(v).isin(*NOT_VARIABLES)
+        T.find_all(content, COBOL_VARIABLE, 1), lambda v: ~v.rlike(f"(?i)^(?:{'|'.join(NOT_VARIABLES)})$")
     )
     return (
         F.when(language.isin("c", "cpp"), cpp)

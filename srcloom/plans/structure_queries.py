@@ -13,6 +13,7 @@ from srcloom.functions import languages as L
 from srcloom.functions import text as T
 from srcloom.operators import segments as SG
 from srcloom.operators import symbols as SY
+from srcloom.operators.ordered import settle
 from srcloom.plans.derived import sql_source_files, source_files, table
 from srcloom.plans.registry import query
 
@@ -363,8 +364,12 @@ def segment_prompt_context(spark, sf_dir):
   select s.path, s.segment_id, j.project, length(j.context) as context_chars, md5(j.context) as context_md5
   from segments s join files f using (path) join joined j on j.project = concat('d', f.o_orderkey % 100)""")
 def segments_with_context(spark, sf_dir):
-    nested = _with_project(analysed(spark, sf_dir))
-    rows = SG.segment_corpus(nested, "project").select("path", "segment_id", "project")
+    # Both sides need the analysis: it is written once and read twice.
+    nested = settle(
+        SG.with_segments(_with_project(analysed(spark, sf_dir)))
+        .select("path", "stem", "language", "project", "total_lines", "symbols", "segments")
+    )
+    rows = SG.segment_rows(nested, "project").select("path", "segment_id", "project")
     out = SG.attach_context(rows, SY.context_lines(nested, "project"), "project", max_chars=100_000_000)
     return out.select("path", "segment_id", "project", "context_chars", F.md5("context").alias("context_md5"))
 
