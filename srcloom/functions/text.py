@@ -167,7 +167,7 @@ def _label_braces(text: Column) -> Column:
     return from_height(0)(F.regexp_replace(text, "[^{}\n]++", ""))
 
 
-def line_index(text: Column) -> Column:
+def line_index_parts(text: Column) -> dict[str, Column]:
     """What block ends and complexity need of a file, computed once.
 
     * ``braces``: line ends and braces only, each pair with the letter of its
@@ -175,11 +175,17 @@ def line_index(text: Column) -> Column:
     * ``branches``: line ends and branch words only;
     * ``n_lines``: newlines plus one.
     """
-    return F.struct(
-        _label_braces(text).alias("braces"),
-        F.array_join(find_all(text, _BRANCHES_AND_LINES), "").alias("branches"),
-        line_count_split(text).alias("n_lines"),
-    )
+    return {
+        "braces": _label_braces(text),
+        "branches": F.array_join(find_all(text, _BRANCHES_AND_LINES), ""),
+        "n_lines": line_count_split(text),
+    }
+
+
+def line_index(text: Column) -> Column:
+    """The same as one struct. As columns of a table, keep the parts apart: the
+    optimizer takes a struct to pieces and computes a part at every use of it."""
+    return F.struct(*[c.alias(n) for n, c in line_index_parts(text).items()])
 
 
 def _fold_block_end(tail: Column) -> Column:

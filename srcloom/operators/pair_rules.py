@@ -117,41 +117,47 @@ def pair_measures(pairs: DataFrame) -> DataFrame:
         T.find_all(migrated, RUST_USE_ROOT, 1), lambda root: ~root.isin(*KNOWN_CRATES, OWN_CRATE)
     )
     is_rust = target_language == "rust"
-    return pairs.withColumn(
-        "m",
-        F.struct(
-            count_functions(source_language, source).alias("source_functions"),
-            count_functions(target_language, migrated).alias("target_functions"),
-            count_types(source_language, source).alias("source_types"),
-            count_types(F.lit("rust"), migrated).alias("target_types"),
-            F.length(T.strip(migrated)).alias("target_chars"),
-            T.line_count_stripped(source).alias("source_lines"),
-            T.line_count_stripped(migrated).alias("target_lines"),
-            F.when(is_rust, suspicious).alias("suspicious"),
-            literals(source).alias("source_literals"),
-            literals(migrated).alias("target_literals"),
-            F.when(is_rust, braces("{")).alias("opens"),
-            F.when(is_rust, braces("}")).alias("closes"),
-            F.when(is_rust, residual_markers(migrated)).alias("markers"),
-        ),
+    # Columns, not one struct: the optimizer would take a struct to pieces and
+    # measure again at every use.
+    measured = {
+        "source_functions": count_functions(source_language, source),
+        "target_functions": count_functions(target_language, migrated),
+        "source_types": count_types(source_language, source),
+        "target_types": count_types(F.lit("rust"), migrated),
+        "target_chars": F.length(T.strip(migrated)),
+        "source_lines": T.line_count_stripped(source),
+        "target_lines": T.line_count_stripped(migrated),
+        "suspicious": F.when(is_rust, suspicious),
+        "source_literals": literals(source),
+        "target_literals": literals(migrated),
+        "opens": F.when(is_rust, braces("{")),
+        "closes": F.when(is_rust, braces("}")),
+        "markers": F.when(is_rust, residual_markers(migrated)),
+    }
+    m = lambda name: F.col(f"m_{name}")
+    issues = F.concat(
+        F.when(
+            m("opens") != m("closes"),
+            F.array(F.format_string("Llaves desbalanceadas: { =%d, } =%d", m("opens"), m("closes"))),
+        ).otherwise(F.array().cast("array<string>")),
+        F.transform(m("markers"), lambda x: F.concat(F.lit("Código C++ residual: "), x)),
+    )
+    return pairs.withColumns({f"m_{n}": c for n, c in measured.items()}).withColumns(
+        {
+            "m_kept": F.size(F.array_intersect(m("source_literals"), m("target_literals"))),
+            "m_had": F.size(m("source_literals")),
+            "m_issues": issues,
+        }
     )
 
 
 def built_in_rules() -> list[Rule]:
-    m = lambda name: F.col("m")[name]
+    m = lambda name: F.col(f"m_{name}")
     is_rust = F.col("target_language") == "rust"
     not_rust = "No aplica (target no es Rust)"
     ratio = m("target_lines") / m("source_lines")
-    kept = F.size(F.array_intersect(m("source_literals"), m("target_literals")))
-    had = F.size(m("source_literals"))
+    kept, had, issues = m("kept"), m("had"), m("issues")
     suspicious = F.concat(F.lit("['"), F.array_join(m("suspicious"), "', '"), F.lit("']"))
-    issues = F.concat(
-        F.when(
-            m("opens") != m("closes"),
-            F.array(F.format_string("Llaves desbalanceadas: { =%d, } =%d", m("opens"), m("closes"))),
-        ).otherwise(F.array().cast("array<string>")),
-        F.transform(m("markers"), lambda x: F.concat(F.lit("Código C++ residual: "), x)),
-    )
     return [
         Rule(
             "function_count", "structural", "warning",
@@ -227,11 +233,12 @@ def check_pairs(pairs: DataFrame, extra_rules: list[Rule] | None = None) -> Data
             blocked, lambda b: F.transform(results, lambda r: r.withField("blocked", b))
         )
 
+    measured = pair_measures(pairs)
     return (
-        pair_measures(pairs)
+        measured
         .withColumn("results", T.let(F.array(*[r.result() for r in rules]), flag))
         .withColumn("blocked", F.col("results")[0]["blocked"])
-        .drop("m")
+        .drop(*[c for c in measured.columns if c not in pairs.columns])
     )
 
 

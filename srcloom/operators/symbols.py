@@ -57,7 +57,7 @@ COBOL_END_VERB = r"(?i)^END-"
 
 
 def _symbol(
-    idx: Column,
+    idx: dict[str, Column],
     hit: Column,
     pattern: str,
     *,
@@ -87,22 +87,22 @@ def _symbol(
     return T.let(T.block_end(idx, start), build)
 
 
-def _symbols(content: Column, idx: Column, pattern: str, **fields) -> Column:
+def _symbols(content: Column, idx: dict[str, Column], pattern: str, **fields) -> Column:
     return F.transform(
         T.match_table(content, pattern), lambda hit: _symbol(idx, hit, pattern, **fields)
     )
 
 
-def cpp_functions(content: Column, idx: Column) -> Column:
+def cpp_functions(content: Column, idx: dict[str, Column]) -> Column:
     return _symbols(content, idx, CPP_FUNCTION, name=2, kind="function", params=3, returns=1)
 
 
-def cpp_records(content: Column, idx: Column) -> Column:
+def cpp_records(content: Column, idx: dict[str, Column]) -> Column:
     kind = lambda text: F.when(text.contains("struct"), "struct").otherwise("class")
     return _symbols(content, idx, CPP_RECORD, name=1, kind=kind)
 
 
-def cpp_enums(content: Column, idx: Column) -> Column:
+def cpp_enums(content: Column, idx: dict[str, Column]) -> Column:
     return _symbols(content, idx, CPP_ENUM, name=1, kind="enum", scored=False)
 
 
@@ -117,23 +117,23 @@ def _java_parents(text: Column) -> Column:
     )
 
 
-def java_classes(content: Column, idx: Column) -> Column:
+def java_classes(content: Column, idx: dict[str, Column]) -> Column:
     return _symbols(content, idx, JAVA_CLASS, name=1, kind="class", dependencies=_java_parents)
 
 
-def java_methods(content: Column, idx: Column) -> Column:
+def java_methods(content: Column, idx: dict[str, Column]) -> Column:
     return _symbols(content, idx, JAVA_METHOD, name=2, kind="function", params=3, returns=1)
 
 
-def rust_functions(content: Column, idx: Column) -> Column:
+def rust_functions(content: Column, idx: dict[str, Column]) -> Column:
     return _symbols(content, idx, RUST_FUNCTION, name=1, kind="function", params=2, returns=3)
 
 
-def rust_structs(content: Column, idx: Column) -> Column:
+def rust_structs(content: Column, idx: dict[str, Column]) -> Column:
     return _symbols(content, idx, RUST_STRUCT, name=1, kind="struct", scored=False)
 
 
-def cobol_paragraphs(content: Column, idx: Column, drop_end_verbs: bool = False) -> Column:
+def cobol_paragraphs(content: Column, idx: dict[str, Column], drop_end_verbs: bool = False) -> Column:
     """A paragraph ends where the next candidate starts, kept or not."""
 
     def bounded(hits: Column) -> Column:
@@ -178,7 +178,7 @@ def imports_of(language: Column, content: Column) -> Column:
     )
 
 
-def symbols_of(language: Column, content: Column, idx: Column, drop_end_verbs: bool = False) -> Column:
+def symbols_of(language: Column, content: Column, idx: dict[str, Column], drop_end_verbs: bool = False) -> Column:
     return (
         F.when(
             language.isin("c", "cpp"),
@@ -217,13 +217,15 @@ def globals_of(language: Column, content: Column, symbols: Column) -> Column:
 def analyse_corpus(files: DataFrame, drop_end_verbs: bool = False) -> DataFrame:
     """One nested row per file: lines, imports, global variables and symbols."""
     content, language = F.col("content"), F.col("language")
+    parts = T.line_index_parts(content)
+    idx = {n: F.col(f"__{n}") for n in parts}
     return (
-        files.withColumn("line_index", T.line_index(content))
-        .withColumn("symbols", symbols_of(language, content, F.col("line_index"), drop_end_verbs))
+        files.withColumns({f"__{n}": c for n, c in parts.items()})
+        .withColumn("symbols", symbols_of(language, content, idx, drop_end_verbs))
         .withColumn("imports", imports_of(language, content))
         .withColumn("global_vars", globals_of(language, content, F.col("symbols")))
-        .withColumn("total_lines", F.col("line_index")["n_lines"])
-        .drop("line_index")
+        .withColumn("total_lines", idx["n_lines"])
+        .drop(*[f"__{n}" for n in parts])
     )
 
 

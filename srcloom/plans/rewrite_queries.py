@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from srcloom.operators import rewrite as RW
-from srcloom.plans.derived import source_files, table
+from srcloom.plans.derived import source_files, spread, table
 from srcloom.plans.registry import query
 from srcloom.plans.structure_queries import FILES
 
@@ -114,7 +114,8 @@ def _case(rows: list[tuple[str, str]], side: int) -> str:
 def statements(spark, sf_dir, rows):
     # Spark reads \\ in a literal as one backslash; the checking engine does not.
     text = _case(rows, 0).replace("\\", "\\\\")
-    return table(spark, sf_dir, "lineitem").selectExpr(*_KEYS.split(", ")).selectExpr("id", "pk", "q", f"{text} as content")
+    keys = spread(table(spark, sf_dir, "lineitem").selectExpr(*_KEYS.split(", ")))
+    return keys.selectExpr("id", "pk", "q", f"{text} as content")
 
 
 def _statement_query(name: str, rows: list[tuple[str, str]], rules: list) -> None:
