@@ -214,15 +214,12 @@ def prompt_context(segments: DataFrame, context: Column | None = None) -> DataFr
 CONTEXT_TITLE = "// === CONTEXTO DEL PROYECTO ==="
 
 
-def attach_context(
-    segments: DataFrame, context: DataFrame, key: str, max_chars: int = 1_000_000
-) -> DataFrame:
-    """Give every segment its project's context.
+def project_contexts(context: DataFrame, key: str, max_chars: int = 1_000_000) -> DataFrame:
+    """One row per project: the size of its context and, up to ``max_chars``, the text.
 
-    The size of each context is summed first. Up to ``max_chars`` the text is
-    built once per project and joined on the project; a larger context stays in
-    its rows (``context`` is null, ``context_chars`` tells its size) and is read
-    from the context table in path order, so no task ever holds a whole project.
+    Sizes are summed first. A larger context stays in its rows (``context`` is
+    null, ``context_chars`` tells its size) and is read from the context table in
+    path order, so no task ever holds a whole project.
     """
     sizes = context.groupBy(key).agg(
         (F.sum(F.length("context") + 1) + len(CONTEXT_TITLE)).alias("context_chars")
@@ -237,4 +234,11 @@ def attach_context(
             F.concat_ws("\n", F.lit(CONTEXT_TITLE), F.array_join(F.col("rows.context"), "\n")).alias("context"),
         )
     )
-    return segments.join(sizes.join(texts, key, "left"), key, "left")
+    return sizes.join(texts, key, "left")
+
+
+def attach_context(
+    segments: DataFrame, context: DataFrame, key: str, max_chars: int = 1_000_000
+) -> DataFrame:
+    """Give every segment its project's context, joined on the project."""
+    return segments.join(project_contexts(context, key, max_chars), key, "left")

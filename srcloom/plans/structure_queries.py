@@ -370,8 +370,10 @@ def segments_with_context(spark, sf_dir):
         .select("path", "stem", "language", "project", "total_lines", "symbols", "segments")
     )
     rows = SG.segment_rows(nested, "project").select("path", "segment_id", "project")
-    out = SG.attach_context(rows, SY.context_lines(nested, "project"), "project", max_chars=100_000_000)
-    return out.select("path", "segment_id", "project", "context_chars", F.md5("context").alias("context_md5"))
+    # The digest is taken once per project, before the join with its segments.
+    contexts = SG.project_contexts(SY.context_lines(nested, "project"), "project", max_chars=100_000_000)
+    digests = contexts.select("project", "context_chars", F.md5("context").alias("context_md5"))
+    return rows.join(digests, "project", "left")
 
 
 # --- text functions ------------------------------------------------------------
