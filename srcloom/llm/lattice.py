@@ -82,7 +82,7 @@ def cell_keys(units: np.ndarray, labels: np.ndarray, tables: int = TABLES, scale
         cells = ((one, two), (next_point(x[:, :8], one), two), (one, next_point(x[:, 8:], two)))
         for k, cell in enumerate(cells):
             code = np.rint(2 * np.hstack(cell)).astype(np.int64).view(np.uint64)
-            keys[:, t, k] = mixed((code * factors[t]).sum(axis=1, dtype=np.uint64) + mixed(labels.astype(np.int64).view(np.uint64) + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15)))
+            keys[:, t, k] = mixed((code * factors[t]).sum(axis=1, dtype=np.uint64) + mixed(labels.astype(np.int64).view(np.uint64) + np.uint64(t << 40)))
     return np.sort(keys.reshape(n, -1), axis=1)
 
 

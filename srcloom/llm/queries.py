@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import decontamination, mixing, pii, quality, sharding, toxicity
+from srcloom.llm import decontamination, lattice, minhash, mixing, neural_lm, pii, quality, repeats, sharding, toxicity
 from srcloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,48 @@ from p join r on p.source is not distinct from r.source"""
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix(docs, size_col="size").select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP5_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+  s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+  n as (select doc_id, count(*) as n from s group by doc_id),
+  links as (select a.doc_id as x, b.doc_id as y from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+  e as (select x, y from links union all select y, x from links),
+  reach as (select doc_id as x, doc_id as y from w union select reach.x, e.y from reach join e on e.x = reach.y),
+  c as (select x as doc_id, min(y) as component_id from reach group by x)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept from w left join n using (doc_id) join c using (doc_id)"""
+
+
+@query("op5_minhash", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+  good as (select vec_id, label, e from v where label is not null and e is not null and len(e) > 0 and vec_id is not null
+    and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+  links as (select a.vec_id as x, b.vec_id as y from good a join good b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.e, b.e) >= 0.98),
+  reach as (select vec_id as x, vec_id as y from v union select reach.x, links.y from reach join links on links.x = reach.y),
+  c as (select x as vec_id, min(y) as component_id from reach group by x),
+  n as (select x as vec_id, count(*) as n from links group by x)
+select v.vec_id, coalesce(n, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept from v left join n using (vec_id) join c using (vec_id)"""
+
+
+@query("op7_lattice", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_neural_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 5) == 1
+    scored = neural_lm.score_texts(docs, docs.where(~held))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
