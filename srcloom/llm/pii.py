@@ -51,8 +51,11 @@ _ODD = "".join(LOOK_ALIKES)
 _RANGES = "٠-٩۰-۹०-९⁰-⁹₀-₉①-⓿！-～\U0001d400-\U0001d7ff"
 _UNSEEN = "­​-‏⁠-⁤﻿"
 _OPEN, _CLOSE = r"\s{0,4}[\[({<]\s{0,4}", r"\s{0,4}[\])}>]\s{0,4}"
+# An address spelled without brackets must end in one of these, else "at" and "dot" are plain words.
+_SURE_ENDS = "com|org|net|edu|gov|int|info|biz|io|eu|de|fr|es|at|ch|uk|us|ca|au|it|nl"
+_SPELLED_DOMAIN = rf"[a-z0-9-]{{1,63}}(?:\s{{1,4}}(?:dot|punkt|point|punto)\s{{1,4}}[a-z0-9-]{{1,63}}){{0,3}}?\s{{1,4}}(?:dot|punkt|point|punto)\s{{1,4}}(?:{_SURE_ENDS})\b"
 _TOKEN = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@|arroba|arobase|klammeraffe){_CLOSE}|(?<=[a-z0-9])\s{{1,4}}at\s{{1,4}}(?=[a-z0-9-]{{1,63}}\s{{1,4}}(?:dot|punkt|point|punto)\s))"
+    rf"(?P<at>{_OPEN}(?:at|@|arroba|arobase|klammeraffe){_CLOSE}|(?<=[a-z0-9])\s{{1,4}}at\s{{1,4}}(?={_SPELLED_DOMAIN}))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}|(?<=[a-z0-9])\s{{1,4}}(?:dot|punkt|point|punto)\s{{1,4}}(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus\s{{1,4}}(?=[0-9]|(?:{_DIGIT_WORD})\b))"
     rf"|(?P<digit>\b(?:{_DIGIT_WORD})\b)"
