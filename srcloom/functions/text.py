@@ -47,6 +47,23 @@ def normalise_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def escape(text: Column, marks: str, by: str) -> Column:
+    """Replaces each of ``marks`` (and ``by`` itself) by ``by`` and a letter, so the marks are free for use."""
+    pairs = [(by, by + "a"), *((m, by + chr(ord("b") + i)) for i, m in enumerate(marks))]
+    out = text
+    for mark, code in pairs:
+        out = F.replace(out, F.lit(mark), F.lit(code))
+    return F.when(text.rlike(f"[{by}{marks}]"), out).otherwise(text)
+
+
+def unescape(text: Column, marks: str, by: str) -> Column:
+    """The inverse of ``escape``."""
+    out = text
+    for i, mark in reversed(list(enumerate(marks))):
+        out = F.replace(out, F.lit(by + chr(ord("b") + i)), F.lit(mark))
+    return F.when(text.contains(by), F.replace(out, F.lit(by + "a"), F.lit(by))).otherwise(text)
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

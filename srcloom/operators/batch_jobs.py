@@ -115,10 +115,15 @@ def department_report(staff: DataFrame) -> DataFrame:
     )
 
 
+def matches(needle: str, *columns: str) -> Column:
+    """The text stands, in any case, in any of the columns; conditions combine in one filter."""
+    cell = lambda c: F.lower(F.col(c).cast("string")).contains(needle.lower())
+    return reduce(lambda a, b: a | b, [cell(c) for c in columns])
+
+
 def search(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
     """Rows with the text, in any case, in any of the columns."""
-    cell = lambda c: F.lower(F.col(c).cast("string")).contains(needle.lower())
-    return rows.where(reduce(lambda a, b: a | b, [cell(c) for c in columns]))
+    return rows.where(matches(needle, *columns))
 
 
 def stock_band(stock: Column, minimum: Column) -> Column:

@@ -151,12 +151,14 @@ def final_states(folded: DataFrame, order: tuple[str, ...] = ("ts", "event_id"))
 SEGMENT_FIELDS = ("state", "attempts", "last_error", "migrated_code", "validation_passed")
 
 
-def upsert_segments(updates: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Latest value that is not null of each known field; other fields are ignored."""
+def upsert_segments(updates: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), **counts: Column) -> DataFrame:
+    """Latest value that is not null of each known field; other fields are ignored.
+
+    ``counts`` are further aggregates of the same rows, by name."""
     when = F.struct(*order)
     fields = [f for f in SEGMENT_FIELDS if f in updates.columns]
     return updates.groupBy("project", "segment_id").agg(
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), when)).alias(f) for f in fields]
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), when)).alias(f) for f in fields], *[c.alias(n) for n, c in counts.items()]
     )
 
 
@@ -166,9 +168,8 @@ def retryable(segments: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFram
 
 def to_resume(segments: DataFrame, done: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Segments still to migrate: not validated before, attempts left."""
-    finished = done.where("state = 'validated'").select("project", "segment_id")
-    exhausted = done.where(F.col("attempts") >= max_attempts).select("project", "segment_id")
-    return segments.join(finished.union(exhausted).distinct(), ["project", "segment_id"], "left_anti")
+    out = done.where((F.col("state") == "validated") | (F.col("attempts") >= max_attempts)).select("project", "segment_id")
+    return segments.join(out, ["project", "segment_id"], "left_anti")
 
 
 def progress(segments: DataFrame) -> DataFrame:

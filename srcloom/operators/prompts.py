@@ -64,16 +64,18 @@ _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 def clean_response(text: Column) -> Column:
     """Drops thinking blocks line-wise, one that never closes to the end, then the
     code fences around the rest."""
-    marked = F.regexp_replace(T.strip(text), r"(?md)^[^\n]*<think>[^\n]*$", _OPEN)
+    free = T.escape(T.strip(text), _OPEN + _CLOSE, "\ufdd2")
+    marked = F.regexp_replace(free, r"(?md)^[^\n]*<think>[^\n]*$", _OPEN)
     marked = F.regexp_replace(marked, r"(?md)^[^\n]*</think>[^\n]*$", _CLOSE)
     spoken = F.regexp_replace(marked, rf"{_OPEN}[^{_CLOSE}]*(?:{_CLOSE}\n?|\z)", "")
     spoken = T.strip(F.regexp_replace(spoken, rf"{_CLOSE}\n?", ""))
     opened = F.when(
         spoken.startswith("```"), F.regexp_replace(spoken, r"^```[^\n]*\n", "")
     ).otherwise(spoken)
-    return T.let(
+    bare = T.let(
         opened, lambda o: T.strip(F.when(o.endswith("```"), F.left(o, F.length(o) - 3)).otherwise(o))
     )
+    return T.unescape(bare, _OPEN + _CLOSE, "\ufdd2")
 
 
 def outcomes(responses: DataFrame) -> DataFrame:

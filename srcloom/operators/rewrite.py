@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,23 @@ class LineRule:
     version: int = 0
 
 
+@dataclass(frozen=True)
+class FileRule:
+    """Sees the whole text: ``new_text`` of it, and ``changes`` counted on it."""
+
+    name: str
+    new_text: Callable[[Column], Column]
+    changes: Callable[[Column], Column]
+    version: int = 0
+
+
+Rule = TextRule | LineRule | FileRule
+# Rules may set these marks for the rules after them; marks of the source are escaped while rules run.
+_TYPED = "\u0001"
+_DEFAULT = "\u0002"
+_ESCAPE = "\u0003"
+
+
 def _steps(*rows: tuple[str, ...]) -> tuple[Step, ...]:
     """Steps from (pattern, replacement) or (pattern, replacement, needed text)."""
     return tuple(Step(r[0], r[1], needs=r[2] if len(r) > 2 else "") for r in rows)
@@ -69,9 +87,9 @@ def _apply_to_lines(text: Column, rule: LineRule) -> Column:
     )
 
 
-def rewrite(files: DataFrame, rules: list[TextRule | LineRule], text: str = "content") -> DataFrame:
+def rewrite(files: DataFrame, rules: list[Rule], text: str = "content") -> DataFrame:
     """Adds ``rewritten`` and ``rewrite_log``, one entry per rule in order."""
-    out = files.withColumn("rewritten", F.col(text))
+    out = files.withColumn("rewritten", T.escape(F.col(text), _TYPED + _DEFAULT, _ESCAPE))
     log = []
     for i, rule in enumerate(rules):
         before, changes = f"__before_{i}", f"__changes_{i}"
@@ -83,6 +101,8 @@ def rewrite(files: DataFrame, rules: list[TextRule | LineRule], text: str = "con
             ).withColumn(
                 "rewritten", F.array_join(F.transform("__lines", lambda x: F.coalesce(x["new"], x["old"])), "\n")
             ).drop("__lines")
+        elif isinstance(rule, FileRule):
+            out = out.withColumns({changes: rule.changes(F.col("rewritten")), "rewritten": rule.new_text(F.col("rewritten"))})
         else:
             out = out.withColumn(changes, F.lit(0))
             for step in rule.steps:
@@ -110,9 +130,22 @@ def rewrite(files: DataFrame, rules: list[TextRule | LineRule], text: str = "con
         )
     empty = F.array().cast("array<struct<step:int,rule:string,n_changes:int,modified:boolean>>")
     out = out.withColumn("rewrite_log", F.array(*log) if log else empty)
+    out = out.withColumn("rewritten", T.unescape(F.col("rewritten"), _TYPED + _DEFAULT, _ESCAPE))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
+def rewrite_corpus(files: DataFrame, migrations: dict[str, str] | None = None) -> DataFrame:
+    """Every file by the rule set of its language's migration; other files stay as they are, with an empty log."""
+    migrations = migrations or {"cobol": "cobol_to_rust", "cpp": "cpp_to_rust", "c": "cpp_to_rust", "java": "java8_to_java17"}
+    known: dict[str, list[str]] = {}
+    for language, migration in migrations.items():
+        known.setdefault(migration, []).append(language)
+    language = F.coalesce("language", F.lit(""))
+    parts = [rewrite(files.where(language.isin(*names)), RULE_SETS[m]) for m, names in known.items()]
+    parts.append(rewrite(files.where(~language.isin(*migrations)), []))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def up_to_version(rules: list, version: int) -> list:
     return [r for r in rules if r.version <= version]
 
@@ -388,6 +421,9 @@ def count_includes(text: Column) -> Column:
     return F.size(F.filter(T.split_lines(text), lambda x: x.rlike(INCLUDE_LINE)))
 
 
+CPP_INCLUDES = FileRule("cpp_includes_to_rust", map_includes, count_includes)
+
+
 # Types in order, longest first.
 CPP_TYPES = TextRule(
     "cpp_types_to_rust",
@@ -464,7 +500,7 @@ CPP_MEMORY = TextRule(
         Step(rf"{WB}std::make_shared<({W}+)>\(([^)]*)\)", "Arc::new($1::new($2))", "", needs="make_shared"),
     ),
 )
-HARD_CPP_RULES = [CPP_TYPES, CPP_OUTPUT, CPP_MEMORY]
+HARD_CPP_RULES = [CPP_INCLUDES, CPP_TYPES, CPP_OUTPUT, CPP_MEMORY]
 
 # --- C++ to Rust: the transform rules -------------------------------------------------
 
@@ -475,8 +511,6 @@ TRANSFORM_TYPES = {
     "size_t": "usize", "void": "()",
 }
 _ZERO_TYPES = "i32|i64|i16|f32|f64|u32|u64|u16|u8|usize"
-_TYPED = "\u0001"
-_DEFAULT = "\u0002"
 
 
 def _resolve_types() -> tuple[Step, ...]:
@@ -683,3 +717,10 @@ COUNTED_CONSTRUCTS = {
     "text_block": rf'{W}+{S}+{W}+{S}*={S}*"(?:[^"\\]|\\.)*"(?:{S}*\+{S}*"(?:[^"\\]|\\.)*"){{2,}}{S}*;',
     "switch_assign": rf"{S}+{W}+(?:<[^>]+>)?{S}+{W}+{S}*;{S}*\n{S}*switch{S}*\([^)]+\){S}*\{{",
 }
+
+# The rules of each migration, in order.
+RULE_SETS: dict[str, list[Rule]] = {
+    "cobol_to_rust": COBOL_RULES,
+    "cpp_to_rust": HARD_CPP_RULES,
+    "java8_to_java17": [JAVA_COLLECTIONS_HARD],
+}

@@ -184,19 +184,29 @@ def segment_rows(nested: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def containment(symbols: DataFrame) -> DataFrame:
-    """Container and function pairs of a file, from flat symbols.
-
-    A range join that always carries the file as its equality key."""
-    c = symbols.where(F.col("kind").isin("struct", "class")).alias("c")
-    f = symbols.where(F.col("kind") == "function").alias("f")
-    return c.join(
-        f,
-        (F.col("c.path") == F.col("f.path"))
-        & F.col("f.start_line").between(F.col("c.start_line"), F.col("c.end_line")),
-    ).select(
-        F.col("c.path").alias("path"), F.col("c.name").alias("container"), F.col("f.name").alias("function"),
+def _held_by(container: str, function: str) -> str:
+    return f"{function}.start_line between {container}.start_line and {container}.end_line"
+
+
+def containment(analysed: DataFrame) -> DataFrame:
+    """Container and function pairs of a file; both lists stand in the file's row, so nothing is joined."""
+    pairs = F.expr(
+        "flatten(transform(filter(symbols, c -> c.kind in ('struct', 'class')), c -> transform("
+        f"filter(symbols, f -> f.kind = 'function' and {_held_by('c', 'f')}), f -> struct(c.name as container, f.name as function))))"
     )
+    rows = explode_rows(analysed.withColumn("pairs", pairs), "path", array="pairs", position="pair_ord", value="p")
+    return rows.select("path", "p.container", "p.function")
+
+
+def free_functions(analysed: DataFrame) -> DataFrame:
+    """Functions whose name no container of the file holds."""
+    held = F.expr(
+        "transform(filter(symbols, f -> f.kind = 'function' and exists(symbols, c -> c.kind in ('struct', 'class') and "
+        f"{_held_by('c', 'f')})), f -> f.name)"
+    )
+    free = F.expr("filter(symbols, f -> f.kind = 'function' and not array_contains(held_names, f.name))")
+    found = analysed.withColumn("held_names", held).withColumn("free", free)
+    return explode_rows(found, "path", array="free", position="free_ord", value="f").select("path", "f.name", "f.start_line")
 
 
 def prompt_context(segments: DataFrame, context: Column | None = None) -> DataFrame:
@@ -214,31 +224,20 @@ def prompt_context(segments: DataFrame, context: Column | None = None) -> DataFr
 CONTEXT_TITLE = "// === CONTEXTO DEL PROYECTO ==="
 
 
-def project_contexts(context: DataFrame, key: str, max_chars: int = 1_000_000) -> DataFrame:
-    """One row per project: the size of its context and, up to ``max_chars``, the text.
+def context_digests(context: DataFrame, key: str) -> DataFrame:
+    """One row per project: files, size of its context and a digest that adds up.
 
-    Sizes are summed first. A larger context stays in its rows (``context`` is
-    null, ``context_chars`` tells its size) and is read from the context table in
-    path order, so no task ever holds a whole project.
-    """
-    sizes = context.groupBy(key).agg(
-        (F.sum(F.length("context") + 1) + len(CONTEXT_TITLE)).alias("context_chars")
-    )
-    small = sizes.where(F.col("context_chars") <= max_chars).select(key)
-    texts = (
-        context.join(small, key, "left_semi")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("path", "context"))).alias("rows"))
-        .select(
-            key,
-            F.concat_ws("\n", F.lit(CONTEXT_TITLE), F.array_join(F.col("rows.context"), "\n")).alias("context"),
-        )
+    The context itself stays in its rows (project, path), to be read in path
+    order. The digest sums the first 12 hex digits of md5 over path and text, so a
+    project of any size is partial aggregates; no task ever holds one."""
+    part = F.conv(F.substring(F.md5(F.concat("path", F.lit("\n"), "context")), 1, 12), 16, 10)
+    return context.groupBy(key).agg(
+        F.count("*").alias("context_files"),
+        (F.sum(F.length("context") + 1) + len(CONTEXT_TITLE)).alias("context_chars"),
+        F.sum(part.cast("decimal(20,0)")).cast("string").alias("context_digest"),
     )
-    return sizes.join(texts, key, "left")
 
 
-def attach_context(
-    segments: DataFrame, context: DataFrame, key: str, max_chars: int = 1_000_000
-) -> DataFrame:
-    """Give every segment its project's context, joined on the project."""
-    return segments.join(project_contexts(context, key, max_chars), key, "left")
+def attach_context(segments: DataFrame, context: DataFrame, key: str) -> DataFrame:
+    """Give every segment the size and digest of its project's context, joined on the project."""
+    return segments.join(context_digests(context, key), key, "left")

@@ -297,18 +297,21 @@ def file_summary(analysed: DataFrame) -> DataFrame:
 CONTEXT_SYMBOLS = 10
 
 
-def context_lines(analysed: DataFrame, *keys: str) -> DataFrame:
-    """Project context, one row per file: its heading and its first ten symbols."""
+def context_text(n_symbols: int = CONTEXT_SYMBOLS) -> Column:
+    """A file's part of the project context: its heading and its first symbols."""
     heading = F.concat(
         F.lit("// Archivo: "), T.basename(F.col("path")), F.lit(" ("), F.col("total_lines"), F.lit(" líneas)")
     )
     listed = F.transform(
-        F.slice("symbols", 1, CONTEXT_SYMBOLS),
+        F.slice("symbols", 1, n_symbols),
         lambda s: F.concat(F.lit("//   "), s["kind"], F.lit(": "), s["name"]),
     )
-    return analysed.select(
-        *keys, "path", F.array_join(F.concat(F.array(heading), listed), "\n").alias("context")
-    )
+    return F.array_join(F.concat(F.array(heading), listed), "\n")
+
+
+def context_lines(analysed: DataFrame, *keys: str, n_symbols: int = CONTEXT_SYMBOLS) -> DataFrame:
+    """Project context, one row per file."""
+    return analysed.select(*keys, "path", context_text(n_symbols).alias("context"))
 
 
 def most_complex(symbols: DataFrame, limit: int = 10) -> DataFrame:

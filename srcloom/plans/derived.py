@@ -97,13 +97,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More tasks for costly text work when the files give fewer than there are
-    cores; large inputs have enough splits and are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
-
-
 def order_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their functions in order. A file is one value of one row, so
     its functions meet in that row; only keys travel, the text is made after.

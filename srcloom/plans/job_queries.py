@@ -124,8 +124,8 @@ def document_search(spark, sf_dir):
 @query("row_search", "select c_custkey from customer where contains(lower(concat_ws('|', c_name, c_mktsegment)), 'mach') or contains(lower(c_name), '77')")
 def row_search(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    hit = J.search(customers, "MACH", "c_name", "c_mktsegment").select("c_custkey")
-    return hit.union(J.search(customers, "77", "c_name").select("c_custkey")).distinct()
+    hit = J.matches("MACH", "c_name", "c_mktsegment") | J.matches("77", "c_name")
+    return customers.where(hit).select("c_custkey")
 
 
 @query("stock_bands", PRODUCTS + """ select code, case when stock <= minimo * 8 + 100 then 'BAJO' when stock <= (minimo * 8 + 100) * 2 then 'MEDIO' else 'OK' end as band from products""")
@@ -178,7 +178,7 @@ def fixed_width_records(spark, sf_dir):
 
 
 @query("copybook_layout", "with " + sql_source_files() + r""" select path, 0 as field_ord, 1 as level, 'ws_a' as name, '9(5)' as picture, 'i32' as type,
-  5 as width, 0 as scale, 1 as start from files where language = 'cobol' and contains(content, '01  WS-A PIC 9(5).')""")
+  5 as width, 0 as scale, 1 as record, 1 as start from files where language = 'cobol' and contains(content, '01  WS-A PIC 9(5).')""")
 def copybook_layout(spark, sf_dir):
     return FW.infer_layout(source_files(spark, sf_dir).where("language = 'cobol'"))
 

@@ -88,27 +88,27 @@ def output_names(spark, sf_dir):
 
 
 @query("folder_totals", FILES + r""", kept as (select regexp_replace(path, '/[^/]*$', '') as folder, path, ext, len(string_split(content, chr(10))) - 1 as lines
-    from files where ext <> '.rs' and length(content) <= 600)
+    from files where ext <> '.rs')
   select folder, count(*) as total_files, sum(lines) as total_lines, arg_min(case ext when '.cpp' then 'cpp' when '.cob' then 'cobol' else 'java7' end, path) as detected_language,
     arg_min(case ext when '.cpp' then 'cpp_to_rust' when '.cob' then 'cobol_to_rust' else 'java7_to_python' end, path) as suggested_migration from kept group by folder""")
 def folder_totals(spark, sf_dir):
     files = source_files(spark, sf_dir).select("path", "content", F.length("content").alias("length"), T.parent(F.col("path")).alias("folder"))
-    return CT.folder_totals(CT.folder_files(files, 600))
+    return CT.folder_totals(CT.folder_files(files))
 
 
 @query("document_folders", """select source as folder, count(*) as total_files, sum(case when text = '' then 0 else len(string_split(text, chr(10))) - case when right(text, 1) = chr(10) then 1 else 0 end end) as total_lines
-  from documents where octet_length(encode(text)) <= 2000 group by source""")
+  from documents group by source""")
 def document_folders(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(
         F.concat("source", F.lit("/"), "doc_id", F.lit(".html")).alias("path"), F.col("text").alias("content"),
         F.octet_length("text").alias("length"), F.col("source").alias("folder"),
     )
-    return CT.folder_totals(CT.folder_files(files, 2000)).select("folder", "total_files", "total_lines")
+    return CT.folder_totals(CT.folder_files(files)).select("folder", "total_files", "total_lines")
 
 
 @query("folder_listing", FILES + " select distinct split_part(path, '/', 2) as name, true as is_dir from files")
 def folder_listing(spark, sf_dir):
-    return CT.file_catalogue(source_files(spark, sf_dir).select(F.substring(F.col("path"), 5, 1000).alias("path")))
+    return CT.file_catalogue(source_files(spark, sf_dir).select(F.regexp_replace("path", "^src/", "").alias("path")))
 
 
 @query("paired_files", FILES + r""", done as (select concat('f', o_orderkey) as stem, concat('src/d', o_orderkey % 100) as folder, case when o_orderstatus = 'F' then concat('fn f', o_orderkey, '() {}') else '' end as code

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from srcloom.operators import rewrite as RW
-from srcloom.plans.derived import source_files, spread, table
+from srcloom.plans.derived import source_files, table
 from srcloom.plans.registry import query
 from srcloom.plans.structure_queries import FILES
 
@@ -114,7 +114,8 @@ def _case(rows: list[tuple[str, str]], side: int) -> str:
 def statements(spark, sf_dir, rows):
     # Spark reads \\ in a literal as one backslash; the checking engine does not.
     text = _case(rows, 0).replace("\\", "\\\\")
-    keys = spread(table(spark, sf_dir, "lineitem").selectExpr(*_KEYS.split(", ")))
+    # The keys are narrow and the work on them is not: they are dealt out anew, whatever the input's splits.
+    keys = table(spark, sf_dir, "lineitem").selectExpr(*_KEYS.split(", ")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return keys.selectExpr("id", "pk", "q", f"{text} as content")
 
 
@@ -175,6 +176,23 @@ def rewrite_includes(spark, sf_dir):
     )
 
 
+# Whole files by the rule set of their migration: includes, types and output of C++, collections of Java, Rust as it is.
+@query("rewrite_corpus", FILES + rf""", mapped as (select path, language, replace(replace(content, '#include <stdio.h>', '// TODO: find Rust equivalent for stdio'), '#include <vector>', '// Vec is built-in') as content from files),
+    typed as (select path, language, content as old, {_TYPES_SQL} as typed from mapped where language = 'cpp'),
+    out as (select path, language, regexp_replace(typed, 'printf\("([^"]*)"\);', 'println!("\1");', 'g') as rewritten,
+        2 + list_sum(list_transform(list_zip(string_split(old, chr(10)), string_split(typed, chr(10))), lambda p: case when p[1] <> p[2] then 1 else 0 end))
+          + len(regexp_extract_all(typed, 'printf\("')) as n from typed
+      union all select path, language, regexp_replace(content, 'Arrays\.asList\(([^)]*)\)', 'List.of(\1)', 'g'), len(regexp_extract_all(content, 'Arrays\.asList\(([^)]*)\)')) from files where language = 'java'
+      union all select path, language, content, 0 from files where language = 'rust')
+  select path, language, md5(rewritten) as digest, n::bigint as n_changes from out""")
+def rewrite_corpus(spark, sf_dir):
+    files = source_files(spark, sf_dir).where("language <> 'cobol'")
+    return RW.rewrite_corpus(files).select(
+        "path", "language", F.md5("rewritten").alias("digest"),
+        F.aggregate("rewrite_log", F.lit(0), lambda n, r: n + r["n_changes"]).cast("bigint").alias("n_changes"),
+    )
+
+
 _JAVA_LOG = FILES + r""", logged as (select path, len(regexp_extract_all(content, 'Arrays\.asList\(([^)]*)\)')) as n from files where language = 'java')"""
 
 

@@ -54,10 +54,7 @@ def segment_updates(spark, sf_dir):
 
 
 def segment_state(spark, sf_dir):
-    updates = segment_updates(spark, sf_dir)
-    latest = M.upsert_segments(updates)
-    tries = updates.groupBy("project", "segment_id").agg(F.count_if(F.col("state") == "migrating").alias("attempts"))
-    return latest.join(tries, ["project", "segment_id"])
+    return M.upsert_segments(segment_updates(spark, sf_dir), attempts=F.count_if(F.col("state") == "migrating"))
 
 
 def violations(spark, sf_dir):

@@ -150,9 +150,17 @@ _language_symbols("rust_functions", "rust", ("function",))
 _language_symbols("rust_structs", "rust", ("struct",))
 
 
+_WORDS = r"\b(?:if|else|for|while|switch|case|catch|PERFORM|IF|EVALUATE|match)\b"
+
+
+# A class of the derived corpus runs from its head to the last line that is not empty.
 @query(
     "java_classes",
-    SYMBOLS + "select path, name, start_line, end_line, complexity, '' as dependencies from symbols where language = 'java' and kind = 'class'",
+    FILES + rf"""select path, regexp_extract(content, 'class (\w+)', 1) as name,
+      len(string_split(split_part(content, 'public class', 1), chr(10))) as start_line, len(string_split(content, chr(10))) - 1 as end_line,
+      least(10, 1 + len(regexp_extract_all(content, '{_WORDS}')) + len(regexp_extract_all(content, '&&'))) as complexity,
+      concat_ws(', ', nullif(regexp_extract(content, 'extends (\w+)', 1), ''), nullif(regexp_extract(content, 'implements (\w+)', 1), '')) as dependencies
+    from files where language = 'java'""",
 )
 def java_classes(spark, sf_dir):
     files = source_files(spark, sf_dir).where("language = 'java'")
@@ -192,9 +200,20 @@ _globals("cpp_globals", "cpp")
 _globals("cobol_variables", "cobol")
 
 
-@query("corpus_rollup")
+@query(
+    "corpus_rollup",
+    SYMBOLS + """, named as (select path, count(*) as n, string_agg(concat(kind, ' ', name), ', ' order by sym_ord) as names from symbols group by path),
+      imported as (select path, string_agg(import_name, ', ' order by import_ord) as names from import_rows group by path),
+      held_vars as (select path, string_agg(var_name, ', ' order by var_ord) as names from global_rows group by path)
+    select f.path as filepath, f.language, len(string_split(f.content, chr(10))) as total_lines, coalesce(i.names, '') as imports,
+      coalesce(v.names, '') as global_vars, coalesce(n.n, 0) as n_symbols, coalesce(n.names, '') as symbols
+    from files f left join named n using (path) left join imported i using (path) left join held_vars v using (path)""",
+)
 def corpus_rollup(spark, sf_dir):
-    return SY.file_rollup(analysed(spark, sf_dir))
+    return SY.file_rollup(analysed(spark, sf_dir)).select(
+        "filepath", "language", "total_lines", F.array_join("imports", ", ").alias("imports"), F.array_join("global_vars", ", ").alias("global_vars"),
+        F.size("symbols").alias("n_symbols"), F.expr("array_join(transform(symbols, s -> concat(s.kind, ' ', s.name)), ', ')").alias("symbols"),
+    )
 
 
 @query(
@@ -326,18 +345,24 @@ _segment_kinds("function_segments", ("function",))
 _segment_kinds("enum_segments", ("enum",))
 
 
-@query("containment_pairs", SEGMENTS + """select h.path, c.name as container, h.name as function
-  from held h join symbols c on c.path = h.path and c.sym_ord = h.sym_ord""")
+_FUNCTION_LINES = rf"""functions as (
+  select path, language, line_no as start_line, regexp_extract(line, '{_FN_CPP}', 2) as name from lines where language = 'cpp' and regexp_matches(line, '{_FN_CPP}')
+  union all select path, language, line_no, regexp_extract(line, '{_FN_JAVA}', 2) from lines where language = 'java' and regexp_matches(line, '{_FN_JAVA}')
+  union all select path, language, line_no, regexp_extract(line, '{_FN_RUST}', 1) from lines where language = 'rust' and regexp_matches(line, '{_FN_RUST}')
+  union all select path, language, line_no, regexp_extract(line, '{_PARA}', 1) from lines where language = 'cobol' and regexp_matches(line, '{_PARA}')
+    and not regexp_matches(upper(line), 'DIVISION|SECTION|STORAGE'))"""
+
+
+# In the derived corpus only Java classes hold functions: all of their file.
+@query("containment_pairs", LINES + ", " + _FUNCTION_LINES + r""" select path, regexp_extract(content, 'class (\w+)', 1) as container, name as function
+  from functions join files using (path) where functions.language = 'java'""")
 def containment_pairs(spark, sf_dir):
-    return SG.containment(SY.symbol_table(analysed(spark, sf_dir)))
+    return SG.containment(analysed(spark, sf_dir))
 
 
-@query("free_functions", SEGMENTS + """select path, name, start_line from symbols s where kind = 'function'
-  and not exists (select 1 from held h where h.path = s.path and h.name = s.name)""")
+@query("free_functions", LINES + ", " + _FUNCTION_LINES + " select path, name, start_line from functions where language <> 'java'")
 def free_functions(spark, sf_dir):
-    symbols = SY.symbol_table(analysed(spark, sf_dir)).select("path", "name", "kind", "start_line", "end_line")
-    held = SG.containment(symbols).select("path", F.col("function").alias("name"))
-    return symbols.where("kind = 'function'").join(held, ["path", "name"], "left_anti").select("path", "name", "start_line")
+    return SG.free_functions(analysed(spark, sf_dir))
 
 
 @query("segment_spans", SEGMENTS + "select path, segment_id, end_line - start_line + 1 as span, complexity from segments")
@@ -360,20 +385,20 @@ def segment_prompt_context(spark, sf_dir):
 
 
 @query("segments_with_context", SEGMENTS + _CONTEXT_SQL + r""", joined as (
-  select project, concat('// === CONTEXTO DEL PROYECTO ===', chr(10), string_agg(context, chr(10) order by path)) as context from context group by project)
-  select s.path, s.segment_id, j.project, length(j.context) as context_chars, md5(j.context) as context_md5
+  select project, count(*) as context_files, sum(length(context) + 1) + 32 as context_chars,
+    sum(('0x' || substr(md5(concat(path, chr(10), context)), 1, 12))::bigint)::varchar as context_digest from context group by project)
+  select s.path, s.segment_id, j.project, context_files, context_chars, context_digest
   from segments s join files f using (path) join joined j on j.project = concat('d', f.o_orderkey % 100)""")
 def segments_with_context(spark, sf_dir):
-    # Both sides need the analysis: it is written once and read twice.
+    # Both sides need the analysis: names and heading are written once, the code is not.
     nested = settle(
-        SG.with_segments(_with_project(analysed(spark, sf_dir)))
-        .select("path", "stem", "language", "project", "total_lines", "symbols", "segments")
+        SG.with_segments(_with_project(analysed(spark, sf_dir))).select(
+            "path", "project", SY.context_text().alias("context"),
+            F.expr("transform(segments, s -> concat_ws('::', stem, s.id_part))").alias("segment_ids"),
+        )
     )
-    rows = SG.segment_rows(nested, "project").select("path", "segment_id", "project")
-    # The digest is taken once per project, before the join with its segments.
-    contexts = SG.project_contexts(SY.context_lines(nested, "project"), "project", max_chars=100_000_000)
-    digests = contexts.select("project", "context_chars", F.md5("context").alias("context_md5"))
-    return rows.join(digests, "project", "left")
+    rows = SY.explode_rows(nested, "path", "project", array="segment_ids", position="seg_ord", value="segment_id").drop("seg_ord")
+    return SG.attach_context(rows, nested, "project")
 
 
 # --- text functions ------------------------------------------------------------
@@ -401,9 +426,8 @@ def document_line_counts(spark, sf_dir):
 
 @query("numbered_lines", LINES + " select path, line_no, line from lines")
 def numbered_lines(spark, sf_dir):
-    return source_files(spark, sf_dir).select(
-        "path", F.posexplode(T.split_lines(F.col("content"))).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no") + 1)
+    split = source_files(spark, sf_dir).withColumn("lines", T.split_lines(F.col("content")))
+    return SY.explode_rows(split, "path", array="lines", position="line_no", value="line").withColumn("line_no", F.col("line_no") + 1)
 
 
 @query("page_pattern_counts", r"""select page_id, len(regexp_extract_all(html, '[{}]')) as braces,
@@ -421,18 +445,15 @@ def page_pattern_counts(spark, sf_dir):
   select path, start_line, text, regexp_extract(text, '(\w+)\(([^()]*)\)', 1) as callee from hits""")
 def call_match_table(spark, sf_dir):
     pattern = rf"({T.W}+)\(([^()\n]*)\)"
-    return (
-        source_files(spark, sf_dir)
-        .select("path", F.explode(T.match_table(F.col("content"), pattern)).alias("m"))
-        .select("path", "m.start_line", "m.text", F.regexp_extract("m.text", pattern, 1).alias("callee"))
-    )
+    matched = source_files(spark, sf_dir).withColumn("calls", T.match_table(F.col("content"), pattern))
+    rows = SY.explode_rows(matched, "path", array="calls", position="call_ord", value="m")
+    return rows.select("path", "m.start_line", "m.text", F.regexp_extract("m.text", pattern, 1).alias("callee"))
 
 
 @query("string_literals", r"""select page_id, unnest(list_distinct(regexp_extract_all(html, '"([^"]{4,})"', 1))) as literal from pages""")
 def string_literals(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.explode(F.array_distinct(T.find_all(F.col("html"), '"([^"]{4,})"', 1))).alias("literal")
-    )
+    found = table(spark, sf_dir, "pages").withColumn("literals", F.array_distinct(T.find_all(F.col("html"), '"([^"]{4,})"', 1)))
+    return SY.explode_rows(found, "page_id", array="literals", position="literal_ord", value="literal").select("page_id", "literal")
 
 
 @query("document_previews", r"select doc_id, trim(replace(left(text, 80), chr(10), ' ')) as preview from documents")
@@ -444,4 +465,6 @@ def document_previews(spark, sf_dir):
 
 @query("parameter_lists", SYMBOLS + """select path, sym_ord, unnest(string_split(params, ', ')) as param from symbols where params <> ''""")
 def parameter_lists(spark, sf_dir):
-    return SY.symbol_table(analysed(spark, sf_dir)).select("path", "sym_ord", F.explode("params").alias("param"))
+    symbols = SY.symbol_table(analysed(spark, sf_dir))
+    rows = SY.explode_rows(symbols, "path", "sym_ord", array="params", position="param_ord", value="param")
+    return rows.select("path", "sym_ord", "param")

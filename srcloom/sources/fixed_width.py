@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcloom.functions.text import ML, S, WORD, find_all
@@ -52,9 +52,6 @@ def read_fixed_width(spark: SparkSession, path: str, layout: list[Field]) -> Dat
     return parse_records(spark.read.text(path), layout)
 
 
-PIC_ITEM = rf"(?i){ML}^{S}*([0-9]{{2}}){S}+([{WORD}-]+){S}+PIC{S}+(S?[0-9XAV()]+)"
-
-
 def picture_width(picture: Column) -> Column:
     """Characters a picture takes: repeats in brackets, single signs, no V or S."""
     repeats = F.aggregate(
@@ -83,22 +80,37 @@ def picture_type(picture: Column) -> Column:
     )
 
 
+#: A group item has no picture; level 01 and 77 start a record.
+ANY_ITEM = rf"(?i){ML}^{S}*([0-9]{{2}}){S}+([{WORD}-]+)(?:{S}+PIC{S}+(S?[0-9XAV()]+))?"
+
+
 def infer_layout(files: DataFrame) -> DataFrame:
-    """Fields of every PIC clause of a file: name, type, width, scale and offset."""
-    items = files.select(
-        "path", F.posexplode_outer(find_all(F.col("content"), PIC_ITEM)).alias("field_ord", "item")
-    ).where(F.col("item").isNotNull())
-    picture = F.regexp_extract("item", PIC_ITEM, 3)
-    upto = Window.partitionBy("path").orderBy("field_ord").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        items.select(
-            "path", "field_ord",
-            F.regexp_extract("item", PIC_ITEM, 1).cast("int").alias("level"),
-            F.replace(F.lower(F.regexp_extract("item", PIC_ITEM, 2)), F.lit("-"), F.lit("_")).alias("name"),
-            picture.alias("picture"),
-            picture_type(picture).alias("type"),
-            picture_width(picture).alias("width"),
-            picture_scale(picture).alias("scale"),
+    """Fields of every PIC clause of a file: record, level, name, type, width, scale and offset.
+
+    Offsets run within a record: each 01 or 77 item starts a new one. Items are folded in the file's row."""
+    def as_field(item: Column) -> Column:
+        picture = F.regexp_extract(item, ANY_ITEM, 3)
+        return F.struct(
+            F.regexp_extract(item, ANY_ITEM, 1).cast("int").alias("level"),
+            F.replace(F.lower(F.regexp_extract(item, ANY_ITEM, 2)), F.lit("-"), F.lit("_")).alias("name"), picture.alias("picture"),
+            picture_type(picture).alias("type"), F.when(picture == "", 0).otherwise(picture_width(picture)).alias("width"), picture_scale(picture).alias("scale"),
         )
-        .withColumn("start", F.coalesce(F.sum("width").over(upto), F.lit(0)).cast("int") + 1)
-    )
+
+    items = files.select("path", F.transform(find_all(F.col("content"), ANY_ITEM), as_field).alias("items"))
+    start = F.expr("named_struct('record', 0, 'next', 1, 'at', cast(array() as array<struct<record:int,start:int>>))")
+
+    def step(acc: Column, item: Column) -> Column:
+        opens = item["level"].isin(1, 77)
+        record, at = acc["record"] + opens.cast("int"), F.when(opens, 1).otherwise(acc["next"])
+        return F.struct(record.alias("record"), (at + item["width"]).alias("next"), F.concat(acc["at"], F.array(F.struct(record.alias("record"), at.alias("start")))).alias("at"))
+
+    placed = items.withColumn("at", F.aggregate("items", start, step, lambda acc: acc["at"]))
+    pairs = F.filter(F.arrays_zip("items", "at"), lambda p: p["items"]["picture"] != "")
+    rows = placed.select("path", F.posexplode_outer(pairs).alias("field_ord", "p")).where(F.col("p").isNotNull())
+    return rows.select("path", "field_ord", "p.items.*", F.col("p.at.record").alias("record"), F.col("p.at.start").alias("start"))
+
+
+def layout_fields(rows: list) -> list[Field]:
+    """The layout of one record, from rows of ``infer_layout`` in order, for ``parse_records``."""
+    kinds = {"f64": "decimal", "i32": "int", "i64": "int", "String": "text"}
+    return [Field(r["name"], r["start"], r["width"], kinds[r["type"]] if r["scale"] or r["type"] != "f64" else "int", r["scale"]) for r in rows]

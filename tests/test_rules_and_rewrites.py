@@ -57,6 +57,8 @@ REWRITES = [
     (RW.COBOL_RULES, "       IF A-B NOT > 5.", "    if a_b <= 5 {", 1),
     (RW.COBOL_RULES, "       IF X OR NOT Y END-IF", "       IF X OR NOT Y END-IF", 0),
     (RW.COBOL_RULES, "", "", 0),
+    (RW.HARD_CPP_RULES, "#include <string>\nint a;\n#include <string>", "// String is built-in\ni32 a;", 3),
+    (RW.TRANSFORM_CPP_RULES, "a\x01int\x01b \x02 \x03", "a\x01int\x01b \x02 \x03", 0),
     (RW.HARD_CPP_RULES, "int a = new Foo(1) && NULL;", "i32 a = Box::new(Foo::new(1)) && None;", 2),
     (RW.HARD_CPP_RULES, 'cout << "a" << b << endl << "c"; x();', 'println!("a{}c", b);', 1),
     (RW.HARD_CPP_RULES, 'printf("%.2f %f", a, b);', 'println!("%.2f {:.2}", a, b);', 1),

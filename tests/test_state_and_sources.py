@@ -128,10 +128,16 @@ def test_fixed_width_file(spark, tmp_path):
 
 def test_layout_of_a_copybook(spark):
     text = "       01 EMP.\n         05 EMP-ID PIC 9(6).\n         05 EMP-PAY PIC S9(7)V99.\n         05 EMP-OK PIC XX.\n         05 BIG PIC 9(12).\n"
+    text += "       01 WS-TOTALS.\n         05 N PIC 9(4).\n         05 S PIC X(3).\n       77 K PIC 99.\n"
     rows = FW.infer_layout(spark.createDataFrame([("a.cpy", text)], "path string, content string")).orderBy("field_ord").collect()
     assert [(r.name, r.type, r.width, r.scale, r.start) for r in rows] == [
         ("emp_id", "i32", 6, 0, 1), ("emp_pay", "f64", 9, 2, 7), ("emp_ok", "String", 2, 0, 16), ("big", "i64", 12, 0, 18),
+        ("n", "i32", 4, 0, 1), ("s", "String", 3, 0, 5), ("k", "i32", 2, 0, 1),
     ]
+    assert [r.record for r in rows] == [1, 1, 1, 1, 2, 2, 3]
+    line = "000042" + "000012345" + "OK" + "000000000007"
+    got = FW.parse_records(spark.createDataFrame([(line,)], "value string"), FW.layout_fields(rows[:4])).first()
+    assert (got.emp_id, str(got.emp_pay), got.emp_ok, got.big) == (42, "123.45", "OK", 7)
 
 
 def test_written_code_comes_back(spark, tmp_path):

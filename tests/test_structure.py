@@ -1,5 +1,7 @@
 """Symbols and segments of small files, one language and quirk at a time."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from srcloom.operators import segments as SG
@@ -183,12 +185,14 @@ def test_spans_lie_inside_their_files(spark, sf_dir):
     assert rows.where("start_line < 1 or end_line > total_lines or start_line > end_line").isEmpty()
 
 
-def test_large_context_stays_in_rows(spark):
-    nested = analysed(spark, [("a/f.rs", "rust", "fn one() {\n}\n"), ("b/g.rs", "rust", "fn two() {\n}\n")])
+def test_context_digests_add_up(spark):
+    nested = analysed(spark, [("a/f.rs", "rust", "fn one() {\n}\n"), ("a/g.rs", "rust", "fn two() {\n}\n"), ("b/g.rs", "rust", "")])
     nested = nested.withColumn("project", F.substring("path", 1, 1))
     lines = SY.context_lines(nested, "project")
-    rows = SG.segment_corpus(nested, "project")
-    full = {r.project: r.context for r in SG.attach_context(rows, lines, "project").collect()}
-    assert full["a"] == "// === CONTEXTO DEL PROYECTO ===\n// Archivo: f.rs (3 líneas)\n//   function: one"
-    kept = SG.attach_context(rows, lines, "project", max_chars=10).collect()
-    assert all(r.context is None and r.context_chars > 10 for r in kept)
+    texts = {r.path: r.context for r in lines.collect()}
+    assert texts["a/f.rs"] == "// Archivo: f.rs (3 líneas)\n//   function: one"
+    digest = lambda *paths: str(sum(int(hashlib.md5(f"{p}\n{texts[p]}".encode()).hexdigest()[:12], 16) for p in paths))
+    got = {r.segment_id: r for r in SG.attach_context(SG.segment_corpus(nested, "project"), lines, "project").collect()}
+    whole = "\n".join([SG.CONTEXT_TITLE, texts["a/f.rs"], texts["a/g.rs"]])
+    assert set(got) == {"f::one", "g::two"}
+    assert all((r.context_files, r.context_chars, r.context_digest) == (2, len(whole), digest("a/f.rs", "a/g.rs")) for r in got.values())
