@@ -126,22 +126,21 @@ def _keep_marks(text: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(marked, f"[^\n{_MARK}]+", "")
 
 
+def _places(lines: Column, count: Callable[[Column], Column]) -> Column:
+    """The line number of every element that ``count`` finds in a line, for all lines at once."""
+    return F.flatten(F.transform(lines, lambda line, i: F.array_repeat(i + 1, count(line))))
+
+
 def match_table(text: Column, pattern: str) -> Column:
     """Every match with its start line: ``array<struct<text, start_line>>``.
 
-    A mark is set before each match and all but marks and line ends is dropped.
-    What stands before mark i is then i marks and the newlines above match i.
-    """
+    A mark is set before each match and all but marks and line ends is dropped; the
+    marks of all lines give the start lines in one pass over the text."""
     def numbered(hits: Column) -> Column:
-        return let(
-            _keep_marks(text, pattern, f"{_MARK}$0"),
-            lambda marks: F.transform(
-                hits,
-                lambda hit, i: F.struct(
-                    hit.alias("text"),
-                    (F.length(parts(marks, _MARK, i + 1)) - i + 1).alias("start_line"),
-                ),
-            ),
+        lines = F.split(_keep_marks(text, pattern, f"{_MARK}$0"), "\n", -1)
+        return F.zip_with(
+            hits, _places(lines, F.length),
+            lambda hit, line: F.struct(hit.alias("text"), line.alias("start_line")),
         )
 
     return let(
@@ -184,17 +183,68 @@ def _label_braces(text: Column) -> Column:
     return from_height(0)(F.regexp_replace(text, "[^{}\n]++", ""))
 
 
-def line_index_parts(text: Column) -> dict[str, Column]:
-    """What block ends and complexity need of a file, computed once.
+_BRACE = "struct<line:int,ch:string>"
+
+
+def _brace_list(braces: Column) -> Column:
+    """All braces in order: ``array<struct<line, ch>>``."""
+    def of_line(line: Column, i: Column) -> Column:
+        chars = F.transform(F.split(line, ""), lambda c: F.struct((i + 1).alias("line"), c.alias("ch")))
+        return F.when(line == "", F.array().cast(f"array<{_BRACE}>")).otherwise(F.filter(chars, lambda b: b["ch"] != ""))
+
+    return F.flatten(F.transform(F.split(braces, "\n", -1), of_line))
+
+
+def _closing_lines(braces: Column) -> Column:
+    """For each brace of the list the line of its partner; null unless it opens a labelled pair.
+
+    Pairs of one letter do not nest, so its k-th opening and k-th closing brace belong together."""
+    def matched(rows: Column) -> Column:
+        placed = F.transform(rows, lambda b, j: F.struct(j.alias("at"), b["line"].alias("line"), b["ch"].alias("ch")))
+        pair = "array<struct<at:int,close:int>>"
+
+        def of_letter(all_: Column, opens: str, closes: str) -> Column:
+            pick = lambda ch: F.filter(all_, lambda b: b["ch"] == ch)
+            both = F.zip_with(pick(opens), pick(closes), lambda o, c: F.struct(o["at"].alias("at"), c["line"].alias("close")))
+            return F.when(braces.contains(opens), both.cast(pair)).otherwise(F.array().cast(pair))
+
+        def join(all_: Column) -> Column:
+            others = F.filter(all_, lambda b: ~b["ch"].isin(*_OPENS))
+            rest = F.transform(others, lambda b: F.struct(b["at"].alias("at"), F.lit(None).cast("int").alias("close"))).cast(pair)
+            return F.transform(F.array_sort(F.concat(rest, *[of_letter(all_, o, c) for o, c in zip(_OPENS, _CLOSES, strict=True)])), lambda e: e["close"])
+
+        return let(placed, join)
+
+    return let(_brace_list(braces), matched)
+
+
+def _first_braces(braces: Column) -> Column:
+    """For each line the place of the first brace at or below it; no entry below the last brace."""
+    def spread(rows: Column) -> Column:
+        above = lambda j: F.coalesce(F.get(rows, j - 1)["line"], F.lit(0))
+        return F.flatten(F.transform(rows, lambda b, j: F.array_repeat(j, b["line"] - above(j))))
+
+    return let(_brace_list(braces), spread)
+
+
+def line_index_parts(text: Column, labelled: Column | None = None) -> dict[str, Column]:
+    """What block ends and complexity need of a file, computed once in time linear in the text.
 
     * ``braces``: line ends and braces only, each pair with the letter of its
       height; braces without a partner, or deeper than the letters, stay as they are;
-    * ``branches``: line ends and branch words only;
+    * ``first_brace`` and ``closes``: see the functions above;
+    * ``branches``: the number of branch words of each line;
     * ``n_lines``: newlines plus one.
+
+    ``labelled`` is the column that holds ``braces`` already, if there is one.
     """
+    braces = _label_braces(text) if labelled is None else labelled
+    words = F.split(F.array_join(find_all(text, _BRANCHES_AND_LINES), ""), "\n", -1)
     return {
-        "braces": _label_braces(text),
-        "branches": F.array_join(find_all(text, _BRANCHES_AND_LINES), ""),
+        "braces": braces,
+        "first_brace": let(braces, _first_braces),
+        "closes": let(braces, _closing_lines),
+        "branches": F.transform(words, lambda line: F.when(line == "", 0).otherwise(count_matches(line, BRANCHES))),
         "n_lines": line_count_split(text),
     }
 
@@ -227,31 +277,23 @@ def _fold_block_end(tail: Column) -> Column:
 
 
 def block_end(idx: Column, start_line: Column) -> Column:
-    """Line of the brace that closes the first block at or below ``start_line``."""
-    tail = parts(idx["braces"], "\n", start_line - idx["n_lines"] - 1)
-
-    def from_tail(t: Column) -> Column:
-        return let(F.substring(F.ltrim(t, F.lit("\n")), 1, 1), lambda first: end_line(t, first))
-
-    def end_line(t: Column, first: Column) -> Column:
-        closing = F.translate(first, _OPENS, _CLOSES)
-        lines = F.when(
-            (first != "") & first.isin(*_OPENS), count_newlines(parts(t, closing, 1))
-        ).otherwise(_fold_block_end(t))
-        return F.coalesce(
-            start_line + lines, F.least(start_line + (OPEN_BLOCK_LINES - 1), idx["n_lines"])
-        )
+    """Line of the brace that closes the first block at or below ``start_line``.
 
-    return let(tail, from_tail)
+    A look-up where that block opens with a labelled brace; unbalanced text is folded from there."""
+    first = F.get(idx["first_brace"], start_line - 1)
 
+    def end_line(close: Column) -> Column:
+        tail = parts(idx["braces"], "\n", start_line - idx["n_lines"] - 1)
+        end = F.when(first.isNull(), F.lit(None).cast("int")).when(close.isNotNull(), close).otherwise(start_line + _fold_block_end(tail))
+        return F.coalesce(end, F.least(start_line + (OPEN_BLOCK_LINES - 1), idx["n_lines"]))
 
-def complexity(idx: Column, start_line: Column, end_line: Column) -> Column:
-    """One plus the branches in the lines, at most ten."""
-    upto = parts(idx["branches"], "\n", end_line)
-    block = parts(upto, "\n", start_line - end_line - 1)
-    return F.when(end_line < start_line, 1).otherwise(
-        F.least(F.lit(MAX_COMPLEXITY), count_matches(block, BRANCHES) + 1)
-    )
+    return let(F.get(idx["closes"], first), end_line)
+
+
+def complexity(idx: Column, start_line: Column, end_line: Column, most: int = MAX_COMPLEXITY) -> Column:
+    """One plus the branches in the lines, at most ``most``."""
+    block = F.slice(idx["branches"], start_line, F.greatest(end_line - start_line + 1, F.lit(0)))
+    return F.least(F.lit(most), F.aggregate(block, F.lit(0), lambda n, hits: n + hits) + 1)
 
 
 def slice_lines(lines: Column, start_line: Column, end_line: Column) -> Column:

@@ -217,10 +217,12 @@ def globals_of(language: Column, content: Column, symbols: Column) -> Column:
 def analyse_corpus(files: DataFrame, drop_end_verbs: bool = False) -> DataFrame:
     """One nested row per file: lines, imports, global variables and symbols."""
     content, language = F.col("content"), F.col("language")
-    parts = T.line_index_parts(content)
+    braces = T.line_index_parts(content)["braces"]
+    parts = T.line_index_parts(content, F.col("__braces"))
     idx = {n: F.col(f"__{n}") for n in parts}
     return (
-        files.withColumns({f"__{n}": c for n, c in parts.items()})
+        files.withColumn("__braces", braces)
+        .withColumns({f"__{n}": c for n, c in parts.items() if n != "braces"})
         .withColumn("symbols", symbols_of(language, content, idx, drop_end_verbs))
         .withColumn("imports", imports_of(language, content))
         .withColumn("global_vars", globals_of(language, content, F.col("symbols")))

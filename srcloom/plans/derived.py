@@ -32,17 +32,17 @@ def _text(*lines: str) -> str:
 def file_header() -> str:
     cpp = _text(
         "#include <stdio.h>", "#include <vector>", "", "struct S`o_orderkey` {", "    int x;", "};",
-        "", "int limit = 10;", "",
+        "", "enum E`o_orderkey` {", "    LOW,", "    HIGH", "};", "", "int limit = 10;", "",
     )
     cobol = _text(
         "       IDENTIFICATION DIVISION.", "       PROGRAM-ID. F`o_orderkey`.",
         "       DATA DIVISION.", "       WORKING-STORAGE SECTION.",
-        "       01  WS-A PIC 9(5).", "       PROCEDURE DIVISION.",
+        "       COPY MEMBER-`o_orderkey % 5`.", "       01  WS-A PIC 9(5).", "       PROCEDURE DIVISION.",
     )
     java = _text(
         "package corpus;", "", "import java.util.Arrays;", "", "public class C`o_orderkey` {",
     )
-    rust = _text("use std::io;", "")
+    rust = _text("use std::io;", "", "pub struct R`o_orderkey` {", "    x: i32,", "}", "")
     return (
         f"case o_orderkey % 4 when 0 then {cpp} when 1 then {cobol} when 2 then {java} else {rust} end"
     )

@@ -1,6 +1,7 @@
 """Symbols and segments of small files, one language and quirk at a time."""
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -196,3 +197,17 @@ def test_context_digests_add_up(spark):
     whole = "\n".join([SG.CONTEXT_TITLE, texts["a/f.rs"], texts["a/g.rs"]])
     assert set(got) == {"f::one", "g::two"}
     assert all((r.context_files, r.context_chars, r.context_digest) == (2, len(whole), digest("a/f.rs", "a/g.rs")) for r in got.values())
+
+
+def test_time_grows_in_proportion_to_the_file(spark):
+    """One generated file of 1 and of 4 MB: a look-up per symbol, not a scan of the file per symbol."""
+    one = 'int fn_%d(int a) {\n    if (a > 3) {\n        return 1;\n    }\n    for (int i = 0; i < a; i++) { a++; }\n    printf("part");\n    return a;\n}\n'
+    taken = []
+    for size in (1_000_000, 4_000_000):
+        n = size // len(one)
+        files = spark.createDataFrame([("a.cpp", "cpp", "".join(one % i for i in range(n)))], "path string, language string, content string")
+        start = time.perf_counter()
+        row = SY.symbol_table(SY.analyse_corpus(files)).agg(F.count("*").alias("n"), F.sum("complexity").alias("c"), F.max("end_line").alias("e")).first()
+        taken.append(time.perf_counter() - start)
+        assert (row.n, row.c, row.e) == (n, 3 * n, 8 * n)
+    assert taken[1] < 8 * taken[0]
