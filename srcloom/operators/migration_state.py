@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions import formats as FM
 from srcloom.functions import text as T
+from srcloom.functions.languages import TARGET_EXTENSIONS
 from srcloom.operators.ordered import cut_in_order, previous_value
 
 # The states in order, and where each may go.
@@ -208,16 +209,24 @@ def latest(log: DataFrame, n: int, order: tuple[str, ...] = ("ts", "event_id"))
 
 def output_file(path: Column, target: str) -> Column:
     """Name of the migrated file, in the folder of its source."""
-    ext = ".rs" if target == "rust" else f".{target}"
+    ext = TARGET_EXTENSIONS.get(target, f".{target}")
     folder = F.when(T.parent(path) == "", "").otherwise(F.concat(T.parent(path), F.lit("/")))
     return F.concat(folder, T.stem(path), F.lit(ext))
 
 
-def compile_cascade(segments: DataFrame, compiled: DataFrame, target: str) -> DataFrame:
-    """A file's compile result becomes the state of its segments."""
+def compile_cascade(segments: DataFrame, compiled: DataFrame, target: str, error_chars: int = 100) -> DataFrame:
+    """A file's compile result becomes the state of its segments, with ``validation_passed`` and, where it failed,
+    the start of its errors as ``last_error``; segments of files not compiled keep what they have."""
     named = segments.withColumn("out_file", output_file(F.col("path"), target))
-    state = F.when(F.col("success"), "validated").when(~F.col("success"), "failed").otherwise(F.col("state"))
-    return named.join(compiled.select("out_file", "success"), "out_file", "left").withColumn("state", state).drop("success")
+    had = lambda c, kind: F.col(c) if c in segments.columns else F.lit(None).cast(kind)
+    passed, failed = F.col("compile_ok"), ~F.col("compile_ok")
+    errors = F.col("errors") if "errors" in compiled.columns else F.lit("")
+    results = compiled.select("out_file", F.col("success").alias("compile_ok"), F.left(F.coalesce(errors, F.lit("")), F.lit(error_chars)).alias("compile_errors"))
+    return named.join(results, "out_file", "left").withColumns({
+        "state": F.when(passed, "validated").when(failed, "failed").otherwise(F.col("state")),
+        "validation_passed": F.when(passed, True).otherwise(had("validation_passed", "boolean")),
+        "last_error": F.when(failed, F.concat(F.lit("compile: "), "compile_errors")).otherwise(had("last_error", "string")),
+    }).drop("compile_ok", "compile_errors")
 
 
 def compile_summary(compiled: DataFrame, *keys: str) -> DataFrame:
@@ -240,7 +249,7 @@ def assemble(migrated: DataFrame, target: str) -> DataFrame:
         migrated.where("migrated_code <> ''")
         .withColumn("out_file", output_file(F.col("path"), target))
         .groupBy("out_file")
-        .agg(F.array_sort(F.collect_list(F.struct("start_line", "seg_ord", "migrated_code"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("start_line", "seg_ord", "path", "migrated_code"))).alias("parts"))
         .select("out_file", F.array_join(F.col("parts.migrated_code"), "\n\n").alias("content"))
     )
 

@@ -138,19 +138,21 @@ def resume_segments(spark, sf_dir):
     return M.to_resume(every, segment_state(spark, sf_dir))
 
 
-_COMPILED = "compiled as (select concat('src/d', o_orderkey % 100, '/f', o_orderkey, '.rs') as out_file, o_orderkey % 4 as kind, o_orderstatus <> 'P' as success from orders)"
+_COMPILED = "compiled as (select concat('src/d', o_orderkey % 100, '/f', o_orderkey, '.rs') as out_file, o_orderkey % 4 as kind, o_orderstatus <> 'P' as success, concat('error ', repeat('x', cast(o_orderkey % 200 as int))) as errors from orders)"
 
 
 def compiled(spark, sf_dir):
     return table(spark, sf_dir, "orders").selectExpr(
-        "concat('src/d', o_orderkey % 100, '/f', o_orderkey, '.rs') as out_file", "o_orderkey % 4 as kind", "o_orderstatus <> 'P' as success"
+        "concat('src/d', o_orderkey % 100, '/f', o_orderkey, '.rs') as out_file", "o_orderkey % 4 as kind", "o_orderstatus <> 'P' as success",
+        "concat('error ', repeat('x', cast(o_orderkey % 200 as int))) as errors",
     )
 
 
-@query("compile_cascade", SEGMENTS + f", {_COMPILED} select path, segment_id, case when success then 'validated' else 'failed' end as state from segments join compiled on out_file = regexp_replace(path, '\\.[a-z]+$', '.rs')")
+@query("compile_cascade", SEGMENTS + f""", {_COMPILED} select path, segment_id, case when success then 'validated' else 'failed' end as state,
+  case when success then true end as validation_passed, case when not success then concat('compile: ', left(errors, 100)) end as last_error from segments join compiled on out_file = regexp_replace(path, '\\.[a-z]+$', '.rs')""")
 def compile_cascade(spark, sf_dir):
     rows = corpus_segments(spark, sf_dir).select("path", "segment_id", F.lit("migrated").alias("state"))
-    return M.compile_cascade(rows, compiled(spark, sf_dir), "rust").select("path", "segment_id", "state")
+    return M.compile_cascade(rows, compiled(spark, sf_dir), "rust").select("path", "segment_id", "state", "validation_passed", "last_error")
 
 
 @query("compile_summary", f"with {_COMPILED} select kind, count(*) filter (where success) as passed, count(*) filter (where not success) as failed, count(*) as total from compiled group by kind")
