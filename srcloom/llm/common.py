@@ -85,8 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = settle(large, "large")
+        # an edge (a, b) with a < b comes from one of its two rows only, so there are few repeats
+        large = settle(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         now = settle(
             large.join(small, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -156,23 +156,26 @@ def compare_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def cluster_edges(members: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Verified edges within the clusters of (cluster, node, key, n_shingles, text)."""
+def cluster_roots(members: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(node, root) of the groups within the clusters of (cluster, node, key, n_shingles, text).
+
+    A cluster of one block is settled by its task; only edges between the blocks of large ones need components."""
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks")
     )
     sized = settle(members.join(sizes, "cluster"), "members")
     small = sized.where("blocks = 1").select("cluster", "node", "key", "text")
-    edges = small.groupBy("cluster").applyInArrow(compare_block, "a long, b long")
+    roots = small.groupBy("cluster").applyInArrow(compare_block, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = sized.where("blocks > 1")
     if not large.take(1):
-        return edges
+        return roots
     turn = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
     leaders = large.select("cluster", "node", "text", F.xxhash64("node").alias("h"))
     leaders = leaders.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= LEADERS)
     leaders = leaders.groupBy("cluster").agg(F.collect_list(F.struct("node", "text")).alias("leaders"))
     led = settle(large.join(leaders, "cluster").select("node", "text", "leaders").mapInArrow(compare_leaders, "a long, b long"), "led")
-    part = components(led).select(F.col("node"), F.col("root").alias("part"))
+    # All that are linked with one leader are one part; parts may still meet in a group.
+    part = led.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("part"))
     known = large.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     # A part that fills blocks by itself gets blocks of its own; the rest share mixed blocks.
     filled = known.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where((F.col("n") >= block) | (F.col("s") >= block_shingles))
@@ -192,7 +195,8 @@ def cluster_edges(members: DataFrame, block: int = BLOCK, block_shingles: int =
     tasks = tasks.select(
         "cluster", F.least(F.to_json("home"), F.to_json("other")).alias("one"), F.greatest(F.to_json("home"), F.to_json("other")).alias("two"), "node", "key", "text"
     )
-    return edges.union(tasks.groupBy("cluster", "one", "two").applyInArrow(compare_block, "a long, b long")).union(led)
+    edges = tasks.groupBy("cluster", "one", "two").applyInArrow(compare_block, "a long, b long").union(led)
+    return roots.union(components(edges))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = clusters.join(classes, "node").select(F.col("node").alias("doc_id"), "cluster", "key", "n_shingles")
     texts = docs.join(chosen, "doc_id")
     members = texts.select("cluster", F.col("doc_id").alias("node"), "key", "n_shingles", "text")
-    found = components(settle(cluster_edges(members), "verified"))
+    found = settle(cluster_roots(members), "found")
     roots = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "key", "n_shingles").join(roots, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))

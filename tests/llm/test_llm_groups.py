@@ -94,8 +94,8 @@ def made_texts(seed, groups, copies):
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     """Small blocks take the way of large clusters: leaders, parts and pairs of blocks."""
     rows = made_texts(3, 4, 14) + [(900, None), (901, "a b"), (902, "A  b"), (903, "")]
-    split = M.cluster_edges
-    monkeypatch.setattr(M, "cluster_edges", lambda members: split(members, block=block))
+    split = M.cluster_roots
+    monkeypatch.setattr(M, "cluster_roots", lambda members: split(members, block=block))
     want, sets = near_groups(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for r in M.near_duplicates(frame).collect():
