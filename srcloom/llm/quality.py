@@ -52,7 +52,6 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """w of min 1/2 |w|^2 + cost * sum of hinge losses, over the scaled rows; the last place is the intercept."""
     w = np.zeros(PLACES + 1)
-    vectors = [scaled(row, ratios) for row in rows]
     sign = np.where(y == 1, 1.0, -1.0)
     cost_of = np.where(y == 1, cost * len(y) / max(1, 2 * (y == 1).sum()), cost * len(y) / max(1, 2 * (y == 0).sum()))
     alpha = np.zeros(len(rows))
@@ -60,7 +59,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            values = vectors[i]
+            values = scaled(rows[i], ratios)  # anew each time: the rows are most of the driver's memory already
             gradient = sign[i] * (w[rows[i]] @ values + w[-1]) - 1
             new = min(max(alpha[i] - gradient / (values @ values + 1), 0.0), cost_of[i])
             if new != alpha[i]:
@@ -96,7 +95,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
         sample.select("text", "y", "turn").mapInArrow(read, "places binary, y int, turn long")
         .orderBy("turn", "places").limit(2 * per_class).toArrow()
     )
-    rows = [np.frombuffer(b, np.int32) for b in seen.column("places").to_pylist()]
+    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in seen.column("places")]  # views, no copies
     y, turn = (np.array(seen.column(c).to_pylist(), np.int64) for c in ("y", "turn"))
     fit = (turn % 4) != 0
     if len({*y[fit].tolist()}) < 2 or len({*y[~fit].tolist()}) < 2:
