@@ -37,10 +37,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), sharding.ring_key(F.col("doc_id"), F.col("text")).alias("key"),
     )
-    placed = sharding.shard_rows(docs, SHARDS)
+    placed = sharding.shard_rows(docs, SHARDS, key_col="key")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -68,9 +68,13 @@ _ALPHA_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'
 OP6_SQL = rf"""with d as (select doc_id, coalesce({_ALPHA_WORDS}, []) as w from documents),
   b as (select item_id, {_ALPHA_WORDS} as w from benchmark where text is not null and item_id is not null),
   bw as (select item_id, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i, w from b where len(w) > 0),
-  win as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win from bw),
-  dw as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, w from d, (select distinct n from win) where len(w) >= n),
-  hits as (select doc_id, i, dw.n, item_id from dw join win on win.n = dw.n and win.win = array_to_string(w[i:i + dw.n - 1], ' ')),
+  win as (select distinct item_id, n, least(n, 3) as m, array_to_string(w[i:i + least(n, 3) - 1], ' ') as head, array_to_string(w[i:i + n - 1], ' ') as win from bw),
+  dwords as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+  heads as (select doc_id, i, word, concat_ws(' ', word, lead(word, 1) over p) as two, concat_ws(' ', word, lead(word, 1) over p, lead(word, 2) over p) as three
+    from dwords window p as (partition by doc_id order by i)),
+  dw as (select doc_id, i, m, case m when 1 then word when 2 then two else three end as head from heads, (select distinct m from win)),
+  near as (select dw.doc_id, i, n, item_id, win from dw join win on win.m = dw.m and win.head = dw.head),
+  hits as (select doc_id, i, n, item_id from near join d using (doc_id) where array_to_string(d.w[i:i + n - 1], ' ') = win),
   words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from hits)) group by doc_id),
   items as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from hits) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,

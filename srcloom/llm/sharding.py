@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.llm.common import unwrapped, wrapped
@@ -58,20 +58,25 @@ def walk(counts: dict[int, int], nodes: list[tuple[int, int]], cells: int) -> li
     return pieces
 
 
+def ring_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
 def shard_rows(
-    docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", points: int = 64, cells: int = 1 << 14
+    docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", points: int = 64, cells: int = 1 << 14,
+    key_col: str | None = None,
 ) -> DataFrame:
     """All rows with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within the shard).
 
     The ring position is a hash of id and text, so nulls are places like others and copies with their own ids, or ids
     with several texts, are spread. Rows equal in both share a cell; any of them may take any of their places. Shard
-    counts differ by one at most. Added columns replace input columns of the same name; an empty table stays empty.
+    counts differ by one at most. ``key_col`` names a column that holds the hash already, so that texts need not travel. Added columns replace input columns of the same name; an empty table stays empty.
     Only the counts of cells (at most ``cells`` rows) reach the driver; the pieces broadcast back are bounded by
     cells + points * shards squared."""
     if cells < shards * points:
         raise ValueError("the ring needs a cell for every point")
     spark = docs.sparkSession
-    key = F.xxhash64(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"))
+    key = F.col(f"row.`{key_col}`") if key_col else ring_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"))
     rows = wrapped(docs).withColumn("key", key).withColumn("cell", F.pmod("key", F.lit(cells)).cast("int"))
     counts = {r[0]: r[1] for r in rows.groupBy("cell").count().collect()}
     pieces = walk(counts, ring(shards, points, cells), cells) if counts else []
