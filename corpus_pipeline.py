@@ -13,6 +13,8 @@ from srcloom.llm.common import settle, table
 
 #: A document is rejected when low quality is likelier than high quality.
 QUALITY = 0.5
+#: Documents are near-duplicates from 0.80 of common shingles on; the query of operator 5 has its own 0.85.
+SIMILARITY = 80
 SHARDS = 16
 
 
@@ -26,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (operator 5): that with the smallest id."""
     from srcloom.llm import minhash
 
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, similarity=SIMILARITY)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from srcloom.llm.common import arrow_batches, byte_texts, components, mixed, parts, running_sum, settle, span_hashes
 
-SHINGLE, SIMILARITY = 5, 85
+SHINGLE = 5
+#: Percent of common shingles from which two texts are linked, unless the caller names another.
+SIMILARITY = 85
 PERMUTATIONS, BANDS, ROWS = 70, 28, 5
 #: A block holds about so many classes or shingles at most.
 BLOCK, BLOCK_SHINGLES, LEADERS = 1024, 1_000_000, 8
@@ -123,7 +125,7 @@ def _edges(nodes: list[int], label: np.ndarray) -> pa.RecordBatch:
     return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def compare_block(table: pa.Table) -> pa.Table:
+def compare_block(table: pa.Table, similarity: int = SIMILARITY) -> pa.Table:
     """Edges (a, b) of one task's texts. A row whose words are not those of its class is left out."""
     seen: dict[int, np.ndarray] = {}
     for batch in table.select(["node", "key", "text"]).to_batches():
@@ -133,10 +135,10 @@ def compare_block(table: pa.Table) -> pa.Table:
                 if hashlib.md5(joined).digest() == key:
                     seen[node] = values
     nodes = sorted(seen)
-    return _edges(nodes, group([seen[n] for n in nodes])) if len(nodes) > 1 else _edges([], np.empty(0, int))
+    return _edges(nodes, group([seen[n] for n in nodes], similarity)) if len(nodes) > 1 else _edges([], np.empty(0, int))
 
 
-def compare_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_leaders(batches: Iterator[pa.RecordBatch], similarity: int = SIMILARITY) -> Iterator[pa.RecordBatch]:
     """Edges between members and the leaders that came along with them."""
     for batch in batches:
         at = batch.schema.get_field_index
@@ -149,23 +151,25 @@ def compare_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     known[leader["node"]] = shingles(leader["text"].encode())[1]
                 other = known[leader["node"]]
                 common = len(np.intersect1d(values, other, assume_unique=True))
-                if node != leader["node"] and 100 * common >= SIMILARITY * (len(values) + len(other) - common):
+                if node != leader["node"] and 100 * common >= similarity * (len(values) + len(other) - common):
                     edges.append((node, leader["node"]))
             if len(known) > 1000:
                 known.clear()
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def cluster_roots(members: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def cluster_roots(members: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, similarity: int = SIMILARITY) -> DataFrame:
     """(node, root) of the groups within the clusters of (cluster, node, key, n_shingles, text).
 
     A cluster of one block is settled by its task; only edges between the blocks of large ones need components."""
+    compare = lambda table: compare_block(table, similarity)
+    lead = lambda batches: compare_leaders(batches, similarity)
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks")
     )
     sized = settle(members.join(sizes, "cluster"), "members")
     small = sized.where("blocks = 1").select("cluster", "node", "key", "text")
-    roots = small.groupBy("cluster").applyInArrow(compare_block, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = small.groupBy("cluster").applyInArrow(compare, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = sized.where("blocks > 1")
     if not large.take(1):
         return roots
@@ -173,7 +177,7 @@ def cluster_roots(members: DataFrame, block: int = BLOCK, block_shingles: int =
     leaders = large.select("cluster", "node", "text", F.xxhash64("node").alias("h"))
     leaders = leaders.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= LEADERS)
     leaders = leaders.groupBy("cluster").agg(F.collect_list(F.struct("node", "text")).alias("leaders"))
-    led = settle(large.join(leaders, "cluster").select("node", "text", "leaders").mapInArrow(compare_leaders, "a long, b long"), "led")
+    led = settle(large.join(leaders, "cluster").select("node", "text", "leaders").mapInArrow(lead, "a long, b long"), "led")
     # All that are linked with one leader are one part; parts may still meet in a group.
     part = led.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("part"))
     known = large.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -195,14 +199,14 @@ def cluster_roots(members: DataFrame, block: int = BLOCK, block_shingles: int =
     tasks = tasks.select(
         "cluster", F.least(F.to_json("home"), F.to_json("other")).alias("one"), F.greatest(F.to_json("home"), F.to_json("other")).alias("two"), "node", "key", "text"
     )
-    edges = tasks.groupBy("cluster", "one", "two").applyInArrow(compare_block, "a long, b long").union(led)
+    edges = tasks.groupBy("cluster", "one", "two").applyInArrow(compare, "a long, b long").union(led)
     return roots.union(components(edges))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
-    component_id is the smallest id reached by links of similarity 0.85 or more, kept is doc_id = component_id. Null and
+    component_id is the smallest id reached by links of ``similarity`` percent or more, kept is doc_id = component_id. Null and
     empty texts and texts without words link with nothing. Rows with a null id have no name to be linked by: their
     component_id is null and they are kept. Repeated rows are copies of each other and count as one id; an id with
     several texts is the same name in each of their groups. Whole texts are read; other columns are not."""
@@ -220,14 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = clusters.join(classes, "node").select(F.col("node").alias("doc_id"), "cluster", "key", "n_shingles")
     texts = docs.join(chosen, "doc_id")
     members = texts.select("cluster", F.col("doc_id").alias("node"), "key", "n_shingles", "text")
-    found = settle(cluster_roots(members), "found")
+    found = settle(cluster_roots(members) if similarity == SIMILARITY else cluster_roots(members, similarity=similarity), "found")
     roots = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "key", "n_shingles").join(roots, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that near_duplicates keeps, with their columns."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, similarity).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")

@@ -134,7 +134,7 @@ select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, w.doc_id =
 
 @query("op5_minhash", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=85)
 
 
 OP7_SQL = """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),

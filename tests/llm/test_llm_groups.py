@@ -331,3 +331,26 @@ def test_pipeline_stages_keep_their_word(spark, sf_dir):
     assert mixed.columns == columns and Counter(r.doc_id for r in mixed.collect()) == Counter(taken)
     placed = corpus_pipeline.sharded(spark, docs, sf_dir)
     assert set(placed.columns) == {*columns, "shard", "slot"} and placed.count() == docs.count()
+
+
+@pytest.mark.parametrize("block", [M.BLOCK, 6])
+def test_near_dedup_stage_links_from_80_percent(spark, sf_dir, monkeypatch, block):
+    """Copies with 0.80 to 0.85 of common shingles go in the stage and stay in op5; small blocks take the way of leaders."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for _ in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 9000, 200)]
+        for places in ([], [20, 60, 100, 140], [25, 65, 105, 150], [10, 50, 90, 130, 170]):
+            text = list(base)
+            for p in places:
+                text[p] = f"v{len(rows)}x{p}"
+            rows.append((len(rows), " ".join(text)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    at = lambda least: roots_of([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
+    kept = lambda root: {i for i in sets if root.get(i, i) == i}
+    assert kept(at(80)) < kept(at(85))
+    split = M.cluster_roots
+    monkeypatch.setattr(M, "cluster_roots", lambda members, **more: split(members, block=block, **more))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, sf_dir).collect()} == kept(at(80))
+    assert {r.doc_id for r in M.near_duplicates(frame).where("kept").collect()} == kept(at(85))
