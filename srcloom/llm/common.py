@@ -139,6 +139,15 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")), F.lit(modulus))
 
 
+def labelled_ids(labels: DataFrame, label: str, train: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, y) of the training ids; labels other than 0 and 1 and null ids are left out, an id labelled both ways is 1."""
+    return (
+        labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y"))
+        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
+        .groupBy("doc_id").agg(F.max("y").alias("y"))
+    )
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -146,11 +155,7 @@ def labelled_sample(
 
     The bound is on ids, so the broadcast is bounded. ``train`` is a condition on the id column; labels other than 0
     and 1 and null ids are left out, and an id labelled both ways is 1. ``turn`` is the hash, for splits."""
-    ids = (
-        labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y"))
-        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
-        .groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("turn", F.xxhash64("doc_id"))
-    )
+    ids = labelled_ids(labels, label, train, id_col).withColumn("turn", F.xxhash64("doc_id"))
     picked = [ids.where(F.col("y") == y).orderBy("turn", "doc_id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     return settle(texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id"), f"{label}-sample")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.llm.common import arrow_batches, byte_texts, labelled_sample, logistic_fit, remainder
+from srcloom.llm.common import arrow_batches, byte_texts, labelled_ids, labelled_sample, logistic_fit, remainder
 
 # The closed word classes of the grammar, in English, German, French and Spanish.
 THREATS = "kill hurt destroy beat burn murder töten schlagen vernichten tuer frapper détruire matar golpear destruir"
@@ -148,7 +148,10 @@ def learn_insults(sample: DataFrame, bound: float = 2.0, most: int = 20_000) ->
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 6000) -> tuple[dict[bytes, float], list[float]]:
-    """Insult weights from three quarters of the sample, the score's weights from the rest."""
+    """Insult weights from three quarters of the sample, the score's weights from the rest.
+
+    The intercept is that of the label shares of all training ids, so a score of 0.5 means the same whether
+    ``per_class`` binds or not."""
     arrow_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", remainder("doc_id", modulus) != held, per_class)
     rest = F.pmod("turn", F.lit(4)) == 0
@@ -162,7 +165,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
 
     seen = sample.where(rest).select("text", "y").mapInArrow(measure, "best double, total double, n double, y int").limit(2 * per_class).collect()
     x = np.array([inputs(r["best"], r["total"], r["n"]) for r in seen]).reshape(-1, 3)
-    weights = logistic_fit(x, np.array([r["y"] for r in seen], float)) if len(seen) else np.array([1.0, 0.0, 0.0, -2.0])
+    y = np.array([r["y"] for r in seen], float)
+    weights = logistic_fit(x, y) if len(seen) else np.array([1.0, 0.0, 0.0, -2.0])
+    # the sample holds the classes in other shares than the labels; the score is for the shares of the labels
+    if 0 < y.sum() < len(y):
+        shares = labelled_ids(labels, "toxic", remainder("doc_id", modulus) != held).agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+        weights[-1] += np.log(shares[0] / shares[1]) - np.log(y.sum() / (1 - y).sum())
     return insults, [float(w) for w in weights]
 
 

@@ -74,6 +74,29 @@ def test_toxicity_learns_and_holds_out(spark):
     assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in held]) > 0.95
 
 
+def test_toxicity_scores_do_not_move_with_the_sample(spark):
+    """per_class binds for no class, for one and for both; the word is weak evidence at the shares of the labels."""
+    rng = np.random.default_rng(3)
+    rows, marks = [], []
+    for i in range(12_000):
+        toxic = int(i % 20 == 0)
+        text = [f"w{x}" for x in rng.integers(0, 300, 12)]
+        if rng.random() < (0.9 if toxic else 0.06):
+            text[5] = "scummy"
+        rows.append((i, " ".join(text)))
+        marks.append((i, 1, toxic))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    probe = spark.createDataFrame([(1, "what a scummy thing"), (2, "a plain thing")], "doc_id long, text string")
+    scores = []
+    for per_class in (20_000, 1000, 400):
+        model = T.toxicity_model(made, labels, per_class=per_class)
+        scores.append([r.score for r in T.score_toxicity(probe, model).orderBy("doc_id").collect()])
+    for got in scores:
+        assert 0.25 < got[0] < 0.65 and got[1] < 0.05  # 0.44 by the shares; 0.94 in a sample of equal classes
+        assert abs(got[0] - scores[0][0]) < 0.2
+
+
 def test_toxicity_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = T.toxicity_model(odd, none)
