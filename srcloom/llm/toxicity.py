@@ -3,7 +3,7 @@
 Words are read as symbols: insult, threat, target, negation, report, or other. Four small transducers read a clause
 at the same time, and their composition (one product state) weighs what it accepts:
 
-* insult and threat give the weight of the symbol;
+* insult gives the weight of the symbol, threat does so once a target stands within a few words on either side;
 * target raises the weight of what stands within a few words of a person or a form of address;
 * negation lowers the weight of what follows it within a few words;
 * reported speech lowers the weight of the rest of its clause.
@@ -66,28 +66,38 @@ class Grammar:
         return weight
 
     def clause(self, words: list[bytes], weights: dict[bytes, float]) -> float:
-        """Runs the product of the four transducers over a clause; state: words since target and negation, reported."""
+        """Runs the product of the four transducers over a clause; state: words since target and negation, reported,
+        the insult and the threats that a target may still follow."""
         since_target = since_negation = 99
         reported, total, open_weight, open_for = False, 0.0, 0.0, 99
+        pending: list[tuple[int, float]] = []  # (words since, weight) of threats without a target so far
         for word in words:
             since_target, since_negation, open_for = since_target + 1, since_negation + 1, open_for + 1
+            if pending:
+                pending = [(n + 1, w) for n, w in pending if n < TARGET_REACH]
             if word in self.targets:
                 since_target = 0
                 if open_for <= TARGET_REACH:  # the target follows the match
                     total += open_weight * (TARGET_GAIN - 1)
                     open_weight = 0.0
+                total += sum(w for _, w in pending) * TARGET_GAIN
+                pending = []
             elif word in self.negations:
                 since_negation = 0
             elif word in self.reports:
                 reported = True
             weight = weights.get(word, 0.0)
-            if not weight and word in self.threats and since_target <= TARGET_REACH:
+            threat = not weight and word in self.threats
+            if threat:
                 weight = THREAT_WEIGHT
             if weight:
                 if since_negation <= NEGATION_REACH:
                     weight *= NEGATION_LOSS
                 if reported:
                     weight *= REPORT_LOSS
+                if threat and since_target > TARGET_REACH:  # nothing yet; a target that follows completes it
+                    pending.append((0, weight))
+                    continue
                 if since_target <= TARGET_REACH:
                     total += weight * TARGET_GAIN
                     open_weight = 0.0

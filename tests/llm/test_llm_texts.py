@@ -55,6 +55,19 @@ def test_grammar_weighs_clauses():
     assert g.features(None) == g.features(b"") == (0.0, 0.0, 0)
 
 
+def test_threats_reach_targets_on_both_sides():
+    g = T.Grammar({b"idiot": 4.0})
+    score = lambda text: g.features(text.encode())[1]
+    assert score("I will kill you") == score("you I will kill") > 0
+    assert score("we should burn them") > 0 and score("ich werde dich töten") > 0
+    assert score("kill and burn you") == 2 * score("kill you")
+    assert score("kill one two three you") > 0 == score("kill one two three four you")
+    assert score("kill the lights") == score("kill. you") == score("kill\nyou") == 0.0
+    assert score("I will not kill you") == score("I will kill you") * T.NEGATION_LOSS
+    assert score("the paper said kill you") == score("kill you") * T.REPORT_LOSS
+    assert score("an idiot may kill you") == score("an idiot may see you") + score("kill you")
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(300)]
