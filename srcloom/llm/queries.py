@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import decontamination, lattice, minhash, mixing, neural_lm, pii, quality, repeats, sharding, toxicity
+from srcloom.llm import audit, decontamination, lattice, minhash, mixing, neural_lm, pii, quality, repeats, sharding, toxicity
 from srcloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder("doc_id", 5) == 1
     scored = neural_lm.score_texts(docs, docs.where(~held))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP11_SQL = r"""with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+  w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by t) as least from d),
+  m as (select part, (len(words) < 50)::int + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::int
+      + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > least, false)::int as mask,
+    doc_id in (select doc_id from labels where quality = 1 and doc_id is not null) as good, doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null) as toxic from w),
+  c as (select part, mask, count(*)::bigint as n, count(*) filter (where good)::bigint as good, count(*) filter (where toxic)::bigint as toxic from m group by part, mask),
+  o as (select '' as ord union all select ord || l from o, (select unnest(['A', 'B', 'C', 'D', 'E']) as l) where not contains(ord, l)),
+  s as (select ord, step, 1 << (ascii(substr(ord, step, 1)) - 65) as own, coalesce(list_sum([1 << (ascii(substr(ord, i, 1)) - 65) for i in range(1, step)]), 0)::int as before
+    from o, (select unnest(range(1, 6))::int as step) where length(ord) = 5),
+  r as (select part, ord, step, own, sum(case when mask & (before | own) = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & own > 0 and mask & before = 0 then n else 0 end)::bigint as removed, sum(case when mask & own > 0 and mask & before > 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = own then n else 0 end)::bigint as unique_fails, sum(case when mask & own > 0 and mask & before = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when mask & own > 0 and mask & before = 0 then toxic else 0 end)::bigint as toxic_lost from c, s group by part, ord, step, own)
+select part, ord as filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r"""
+
+
+@query("op11_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
