@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import audit, decontamination, lattice, minhash, mixing, neural_lm, pii, quality, repeats, sharding, toxicity
+from srcloom.llm import alignment, audit, decontamination, lattice, minhash, mixing, neural_lm, pii, quality, repeats, sharding, toxicity
 from srcloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,11 @@ select part, ord as filter_order, step, kept, removed, redundant, unique_fails,
 @query("op11_audit", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
