@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import alignment, audit, decontamination, lattice, minhash, mixing, neural_lm, pii, quality, repeats, sharding, toxicity
+from srcloom.llm import alignment, audit, decontamination, lattice, minhash, mixing, neural_lm, pii, quality, repeats, sharding, token_counts, toxicity
 from srcloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path
     return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
