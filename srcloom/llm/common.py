@@ -59,6 +59,17 @@ def unwrapped(df: DataFrame, added: list[str]) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in names], *added)
 
 
+def by_place(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:
+    """The columns under names by their place (c0, c1 ...), with further ones, so that no name of the input clashes."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], *[c.alias(n) for n, c in more.items()])
+
+
+def by_name(df: DataFrame, columns: list[str], added: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``by_place`` under their own names; an added column replaces one of the same name."""
+    taken = {a.lower() for a in added}
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in taken], *added)
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Adds ``name``: the place from 1 in the order of all rows, without gathering them in one task."""
     cut = settle(df.repartitionByRange(parts(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "numbered")

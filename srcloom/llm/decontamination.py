@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.llm.common import arrow_batches, byte_texts
+from srcloom.llm.common import arrow_batches, by_name, by_place, byte_texts, settle
 
 WINDOW = 10
 #: Digits, letters and all that is not ASCII make words; A-Z are lower-cased.
@@ -83,14 +83,15 @@ def scan(words: list[bytes], tables: list[Search]) -> tuple[list[list[int]], set
     return runs, items
 
 
-def benchmark_blocks(benchmark: DataFrame, most_bytes: int) -> list[list[tuple[int, bytes | None]]]:
-    """The items in blocks of about ``most_bytes`` of text; each block is one pass over the documents.
+def benchmark_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[tuple[list[tuple[int, bytes]], bool]]:
+    """The items in blocks of about ``most_bytes`` of text, and whether another follows; one block is held at a time.
 
     Null items have no words; rows of one id are all searched and count as one item."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes))
     turn = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r[0], bytes(r[1])) for r in items.where(turn == k).toLocalIterator()] for k in range(n)]
+    for k in range(n):
+        yield [(r[0], bytes(r[1])) for r in items.where(turn == k).toLocalIterator()], k + 1 < n
 
 
 def find_contamination(
@@ -100,17 +101,34 @@ def find_contamination(
     """One row per row of ``docs``: its columns ``keep`` (else the id as doc_id), n_words, runs of hit words and item ids.
 
     The benchmark is the query set: it is searched in blocks of bounded size, each broadcast as search tables and read
-    against all documents. Null and empty texts have no words and are never hit; ids may be null or repeated; an empty
-    benchmark hits nothing. Runs count words from 0, end exclusive."""
+    against all documents; what a block finds is written before the next is read. Null and empty texts have no words and
+    are never hit; ids may be null or repeated, item ids are whole numbers; an empty benchmark hits nothing. Kept columns
+    named n_words, runs or items give way to the results. Runs count words from 0, end exclusive."""
+    columns = ["doc_id"] if keep is None else keep
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) if keep is None else docs
+    text_col = "text" if keep is None else text_col
+    return by_name(_searched(docs, columns, text_col, benchmark, window, block_bytes), columns, ("n_words", "runs", "items"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows without a passage of the benchmark, with all their columns as they are, whatever their names.
+
+    Each row is judged by its text alone: ids may be null or repeated, equal texts stay or go together, texts without
+    words stay."""
+    return by_name(_searched(docs, docs.columns, text_col, benchmark, window, block_bytes).where(F.size("runs") == 0), docs.columns)
+
+
+def _searched(docs: DataFrame, own: list[str], text_col: str, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """The columns by their places, n_words, runs and items."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) if keep is None else docs.select(*keep)
-    text = "text" if keep is None else text_col
+    text = f"c{own.index(text_col)}" if text_col in own else "text"
+    docs = by_place(docs, own, **({} if text_col in own else {"text": F.col(f"`{text_col}`")}))
     columns = docs.columns
     out = docs.withColumns(
         {"n_words": F.lit(0).cast("bigint"), "runs": F.expr("cast(array() as array<array<int>>)"), "items": F.expr("cast(array() as array<bigint>)")}
     )
-    for block in benchmark_blocks(benchmark, block_bytes):
+    for block, more in benchmark_blocks(benchmark, block_bytes):
         sent = spark.sparkContext.broadcast(block)
 
         def read(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -130,6 +148,8 @@ def find_contamination(
                 )
 
         out = out.mapInArrow(read, out.schema)
+        if more:
+            out = settle(out, "searched")
     return out
 
 

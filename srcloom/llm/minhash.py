@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.llm.common import arrow_batches, byte_texts, components, mixed, parts, running_sum, settle, span_hashes
+from srcloom.llm.common import arrow_batches, by_name, by_place, byte_texts, components, mixed, parts, running_sum, settle, span_hashes
 
 SHINGLE = 5
 #: Percent of common shingles from which two texts are linked, unless the caller names another.
@@ -126,16 +126,26 @@ def _edges(nodes: list[int], label: np.ndarray) -> pa.RecordBatch:
 
 
 def compare_block(table: pa.Table, similarity: int = SIMILARITY) -> pa.Table:
-    """Edges (a, b) of one task's texts. A row whose words are not those of its class is left out."""
-    seen: dict[int, np.ndarray] = {}
+    """Edges (a, b) of one task's texts. A row whose words are not those of its class is left out.
+
+    A node that names several classes is linked by each of them."""
+    seen: dict[tuple[int, bytes], np.ndarray] = {}
     for batch in table.select(["node", "key", "text"]).to_batches():
         for node, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch), strict=True):
-            if node not in seen:
+            if (node, key) not in seen:
                 joined, values = shingles(text)
                 if hashlib.md5(joined).digest() == key:
-                    seen[node] = values
-    nodes = sorted(seen)
-    return _edges(nodes, group([seen[n] for n in nodes], similarity)) if len(nodes) > 1 else _edges([], np.empty(0, int))
+                    seen[node, key] = values
+    if len(seen) < 2:
+        return _edges([], np.empty(0, int))
+    held = sorted(seen)
+    nodes = [n for n, _ in held]
+    label = group([seen[h] for h in held], similarity)
+    for i in range(1, len(nodes)):  # classes of one node are one
+        if nodes[i] == nodes[i - 1] and label[i] != label[i - 1]:
+            low, high = sorted((label[i], label[i - 1]))
+            label[label == high] = low
+    return _edges(nodes, label)
 
 
 def compare_leaders(batches: Iterator[pa.RecordBatch], similarity: int = SIMILARITY) -> Iterator[pa.RecordBatch]:
@@ -209,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reached by links of ``similarity`` percent or more, kept is doc_id = component_id. Null and
     empty texts and texts without words link with nothing. Rows with a null id have no name to be linked by: their
     component_id is null and they are kept. Repeated rows are copies of each other and count as one id; an id with
-    several texts is the same name in each of their groups. Whole texts are read; other columns are not."""
+    several texts links the groups of all of them. Ids are whole numbers. Whole texts are read; other columns are not; an
+    empty table gives an empty one."""
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -224,7 +235,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = clusters.join(classes, "node").select(F.col("node").alias("doc_id"), "cluster", "key", "n_shingles")
     texts = docs.join(chosen, "doc_id")
     members = texts.select("cluster", F.col("doc_id").alias("node"), "key", "n_shingles", "text")
-    found = settle(cluster_roots(members) if similarity == SIMILARITY else cluster_roots(members, similarity=similarity), "found")
+    found = settle(cluster_roots(members, similarity=similarity), "found")
+    # an id with several texts links their classes; such ids are looked for before anything is joined for them
+    several = settle(named.groupBy("doc_id").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one < other").select("doc_id"), "several")
+    if several.take(1):
+        names = classes.join(named.join(several, "doc_id").select("doc_id", "key").distinct(), "key")
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(names.select("doc_id", "node")))
     roots = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "key", "n_shingles").join(roots, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))
@@ -232,6 +248,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, with their columns."""
+    """The rows of ``docs`` that near_duplicates keeps, with their columns, whatever their names.
+
+    An id that is not kept goes with all its rows, of repeated rows (equal in id and text, null ids and texts included) one stays; texts
+    without words link with nothing and stay. Which of repeated rows stays, where other columns differ, is not defined."""
     gone = near_duplicates(docs, id_col, text_col, similarity).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    rows = by_place(docs, docs.columns, id_=F.col(f"`{id_col}`").cast("long"))
+    kept = rows.join(gone, F.col("id_") == F.col("gone_id"), "left_anti")
+    again = settle(docs.groupBy(F.col(f"`{id_col}`").cast("long").alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id"), "again")
+    if again.take(1):
+        same = F.col("id_").eqNullSafe(F.col("again_id"))
+        once = kept.join(again, same, "left_semi").dropDuplicates(["id_", f"c{docs.columns.index(text_col)}"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return by_name(kept, docs.columns)

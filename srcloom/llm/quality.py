@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.llm.common import arrow_batches, byte_texts, labelled_sample, logistic_fit, remainder
+from srcloom.llm.common import arrow_batches, by_name, by_place, byte_texts, labelled_ids, labelled_sample, logistic_fit, remainder
 
 PLACES = 1 << 18
 GRAMS = (2, 3, 4)
@@ -80,7 +80,10 @@ def scaled(row: np.ndarray, ratios: np.ndarray) -> np.ndarray:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, per_class: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log-count ratios, weights, logistic weights). With no labels or one class only, a model that accepts all."""
+    """(log-count ratios, weights, logistic weights). With no labels or one class only, a model that accepts all.
+
+    Null texts, null ids and labels other than 0 and 1 are not learned from; an id labelled both ways is 1; rows of one
+    id, equal or not, are learned from each, within the bound of ``per_class``."""
     arrow_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", remainder("doc_id", modulus) != held, per_class)
 
@@ -106,7 +109,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
     aside = np.flatnonzero(~fit)
     logistic = logistic_fit(np.array([[margin(rows[i], ratios, w)] for i in aside]), y[aside].astype(float), ridge=1e-2)
     # the sample holds the classes in other shares than the labels; the score is for the shares of the labels
-    shares = labels.where(remainder("doc_id", modulus) != held).agg(F.count_if(F.expr("quality = 1")), F.count_if(F.expr("quality = 0"))).first()
+    shares = labelled_ids(labels, "quality", remainder("doc_id", modulus) != held).agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     logistic[1] += np.log(max(1, shares[0]) / max(1, shares[1])) - np.log(max(1, y[aside].sum()) / max(1, (1 - y[aside]).sum()))
     return ratios.astype(np.float32), w.astype(np.float32), logistic
 
@@ -118,14 +121,28 @@ def margin(row: np.ndarray, ratios: np.ndarray, w: np.ndarray) -> float:
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id and score (0 to 1, higher is better) of each row; ``keep`` names columns to carry along instead of the id.
 
-    Null and empty texts have no n-gram and get the score of the intercept. Ids may be null or repeated; the model is
-    some 2 MB whatever the data."""
+    Null and empty texts have no n-gram and get the score of the intercept. Ids may be null or repeated; a kept column
+    named score gives way to the score; an empty table gives an empty one. The model is some 2 MB whatever the data."""
+    columns = ["doc_id"] if keep is None else keep
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) if keep is None else docs
+    return by_name(_scored(docs, columns, "text" if keep is None else text_col, model), columns, ("score",))
+
+
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows with a score of ``least`` or more, with all their columns as they are, whatever their names.
+
+    Each row is judged by its text alone, so ids may be null or repeated, and equal texts stay or go together."""
+    return by_name(_scored(docs, docs.columns, text_col, model).where(F.col("score") >= least), docs.columns)
+
+
+def _scored(docs: DataFrame, columns: list[str], text_col: str, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """The columns by their places, and score."""
     spark = docs.sparkSession
     arrow_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) if keep is None else docs.select(*keep)
-    text = "text" if keep is None else text_col
-    out = ["doc_id"] if keep is None else keep
+    text = f"c{columns.index(text_col)}" if text_col in columns else "text"
+    docs = by_place(docs, columns, **({} if text_col in columns else {"text": F.col(f"`{text_col}`")}))
+    out = [f"c{i}" for i in range(len(columns))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios, w, logistic = sent.value
@@ -135,5 +152,5 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarr
             p = 1 / (1 + np.exp(-np.clip(margins * logistic[0] + logistic[1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in out), pa.array(p, pa.float64())], [*out, "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in out)
     return docs.mapInArrow(score, f"{fields}, score double")

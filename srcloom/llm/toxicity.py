@@ -126,10 +126,10 @@ def inputs(best: float, total: float, n: int) -> list[float]:
     return [best, math.log1p(total), math.log1p(n)]
 
 
-def learn_insults(sample: DataFrame, bound: float = 2.0, most: int = 20_000) -> dict[bytes, float]:
+def learn_insults(sample: DataFrame, bound: float = 2.0) -> dict[bytes, float]:
     """Words and beginnings that toxic rows have more often: the lower bound of their log odds is the weight.
 
-    Documents are counted, each word once. ``most`` bounds the table by weight."""
+    Documents are counted, each word once. The table is bounded by the words of the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -154,7 +154,7 @@ def learn_insults(sample: DataFrame, bound: float = 2.0, most: int = 20_000) ->
     odds = F.log((F.col("p") + 0.5) / (size["p"] + 1.0)) - F.log((F.col("q") + 0.5) / (size["q"] + 1.0))
     error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
     table = counts.where("key <> cast('' as binary)").select("key", (odds - 1.5 * error).alias("weight")).where(F.col("weight") >= bound)
-    return {bytes(r["key"]): r["weight"] for r in table.orderBy(F.desc("weight"), "key").limit(most).collect()}
+    return {bytes(r["key"]): r["weight"] for r in table.collect()}
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 6000) -> tuple[dict[bytes, float], list[float]]:

@@ -70,10 +70,10 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def near_groups(rows):
+def near_groups(rows, least=85):
     sets = {i: shingle_set(t) for i, t in rows}
     ids = sorted(sets)
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
     return roots_of(links), sets
 
 
@@ -95,7 +95,7 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     """Small blocks take the way of large clusters: leaders, parts and pairs of blocks."""
     rows = made_texts(3, 4, 14) + [(900, None), (901, "a b"), (902, "A  b"), (903, "")]
     split = M.cluster_roots
-    monkeypatch.setattr(M, "cluster_roots", lambda members: split(members, block=block))
+    monkeypatch.setattr(M, "cluster_roots", lambda members, **more: split(members, block=block, **more))
     want, sets = near_groups(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for r in M.near_duplicates(frame).collect():
@@ -114,10 +114,36 @@ def test_signature_estimates_similarity():
 def test_near_duplicates_of_odd_rows(odd):
     got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(odd).collect()), key=str)
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (-1, 1, None, True), (5, 1, 3, False), (6, 1, 6, True)], key=str)
-    assert sorted(r.doc_id or -1 for r in M.keep_one(odd).collect()) == [-1, 1, 2, 3, 3, 6]
+    assert sorted(r.doc_id or -1 for r in M.keep_one(odd).collect()) == [-1, 1, 2, 3, 6]
     assert M.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_ids_with_several_texts_link_all_their_groups(spark):
+    rng = np.random.default_rng(2)
+    one, two, three = ([f"w{x}" for x in rng.integers(0, 5000, 120)] for _ in range(3))
+    near = lambda words: " ".join([*words[:60], "other", *words[61:]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (4, " ".join(three)), (0, " ".join(two)), (4, " ".join(three)), (None, near(three)), (None, near(three))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in M.near_duplicates(frame).collect())
+    assert got == Counter([(1, 0), (1, 0), (2, 0), (3, 0), (4, 4), (0, 0), (4, 4), (None, None), (None, None)])
+    assert Counter(r.doc_id for r in M.keep_one(frame).collect()) == Counter([0, 4, None])
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_with_clashing_columns(spark, sf_dir, stage):
+    names = ["score", "runs", "items", "n_words", "gone_id", "copies", "shard", "slot", "row", "c0", "text_", "id_", "y", "turn", "key", "node"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    crowded = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    _, step = corpus_pipeline.STAGES[stage]
+    plain, got = step(spark, docs, sf_dir), step(spark, crowded, sf_dir)
+    assert set(got.columns) == set(crowded.columns)
+    if stage < 4:
+        assert got.columns == crowded.columns and all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in plain.collect())
+    empty = step(spark, crowded.limit(0), sf_dir)
+    assert empty.collect() == [] and set(empty.columns) == set(crowded.columns)
+
+
 def test_lattice_points_are_the_nearest():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 8)) * 2
@@ -320,7 +346,7 @@ def test_pipeline_stages_keep_their_word(spark, sf_dir):
     clean = [i for i, q in labels.items() if q == 1]
     assert good.columns == columns and sum(i in kept for i in clean) >= 0.95 * len(clean)
     one = corpus_pipeline.near_dedup(spark, docs, sf_dir)
-    want, _ = near_groups([(r.doc_id, r.text) for r in docs.collect()])
+    want, _ = near_groups([(r.doc_id, r.text) for r in docs.collect()], corpus_pipeline.SIMILARITY)
     ids = {r.doc_id for r in docs.collect()}
     assert one.columns == columns and {r.doc_id for r in one.collect()} == {i for i in ids if want.get(i, i) == i}
     free = corpus_pipeline.decontaminated(spark, docs, sf_dir)

@@ -49,7 +49,6 @@ def test_grammar_weighs_clauses():
     assert score("this is not an idiot") < plain  # negation
     assert score("she said that in the end an idiot came by") < score("in the end of all an idiot came by")
     assert score("moronic things") == 3.0  # beginnings
-    assert score("I will kill you") == 0.0 or score("you I will kill") > 0
     assert g.features(b"good words. and more")[2] == 0
     assert g.features(b"an idiot. a line\nan IDIOT!")[2] == 2
     assert g.features(None) == g.features(b"") == (0.0, 0.0, 0)
@@ -145,7 +144,7 @@ def test_dual_descent_meets_the_conditions():
 
 def test_quality_on_odd_rows(spark, odd):
     model = Q.quality_model(odd, spark.createDataFrame([(1, None, 1), (None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int"))
-    got = Q.score_quality(odd, model, keep=[c for c in odd.columns if c != "score"]).collect()
+    got = Q.score_quality(odd, model, keep=odd.columns).collect()
     assert len(got) == len(ODD_ROWS) and all(0 <= r.score <= 1 for r in got)
     assert Q.score_quality(odd.limit(0), model).collect() == []
 
