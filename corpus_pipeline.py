@@ -6,9 +6,8 @@ Each stage takes all documents that its predecessor kept and returns their colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from srcloom.llm import decontamination, mixing, quality, sharding
+from srcloom.llm import decontamination, minhash, mixing, quality, sharding
 from srcloom.llm.common import settle, table
 
 #: A document is rejected when low quality is likelier than high quality.
@@ -19,31 +18,32 @@ SHARDS = 16
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (operator 4), learned from the labels, does not reject."""
-    model = quality.quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, keep=docs.columns).where(F.col("score") >= QUALITY).select(*docs.columns)
+    """Documents that the classifier (operator 4), learned from the labels, does not reject.
+
+    Rows are judged by their texts; null and empty ones get the score of the intercept. All columns stay as they are."""
+    return quality.keep_good(docs, quality.quality_model(docs, table(spark, sf_dir, "labels")), QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (operator 5): that with the smallest id."""
-    from srcloom.llm import minhash
+    """One document of each group of near-duplicates (operator 5): that with the smallest id.
 
+    Of repeated rows one stays; null ids link with nothing; texts without words stay."""
     return minhash.keep_one(docs, similarity=SIMILARITY)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark (operator 6)."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(F.size("runs") == 0).select(*docs.columns)
+    """Documents without a passage of the benchmark (operator 6). Null and empty texts stay; ids are not looked at."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (operator 8)."""
+    """Documents as often as the mix takes them (operator 8). A null source is a source; null texts have no words."""
     return mixing.emit(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot (operator 2)."""
+    """All documents with their shard and slot (operator 2); nulls and repeated rows get places like others. Columns of
+    these two names give way."""
     return sharding.shard_rows(docs, SHARDS)
 
 
