@@ -1,7 +1,7 @@
 """Persisted migration state: JSON snapshots in two layouts.
 
-Spark leaves dot-files out of every listing. Snapshots are therefore read under
-names without the dot; ``stage_hidden`` copies existing dot-files there once.
+Spark leaves dot-files out of every listing, so snapshots under hidden names are read by the ``file_tree`` source, whose
+tasks walk the folders themselves; others by Spark's own reader.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from srcloom.sources.file_tree import read_tree
+
 # File names of the two layouts.
 HIDDEN_NAMES = [".migration_state.json", ".supervised_state.json"]
 PLAIN_NAME, SUPERVISED_NAME = "migration_state.json", "supervised_state.json"
@@ -33,10 +35,15 @@ _CORRUPT = "_corrupt_record"
 def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """Snapshots of one layout. Unknown keys are ignored, corrupt files dropped."""
     shape = T.StructType.fromDDL(schema).add(_CORRUPT, T.StringType())
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-        .load(root)
-    )
+    if name.startswith("."):
+        files = read_tree(spark, root, names=name).select(
+            F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"), F.col("mtime").alias("modificationTime"), "content"
+        )
+    else:
+        files = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+            .load(root)
+        )
     parsed = F.from_json(
         F.make_valid_utf8(F.col("content").cast("string")), shape,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
@@ -47,28 +54,6 @@ def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     )
 
 
-def stage_hidden(spark: SparkSession, root: str, staging: str) -> int:
-    """Copies the dot-file snapshots below ``root``, one small file per project,
-    to the same folders below ``staging`` with their time; returns how many."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    source = hadoop.Path(root)
-    fs = source.getFileSystem(conf)
-    base = fs.makeQualified(source).toString().rstrip("/")
-    files, n = fs.listFiles(source, True), 0
-    while files.hasNext():
-        status = files.next()
-        path = status.getPath()
-        if path.getName() in HIDDEN_NAMES:
-            folder = path.getParent().toString()[len(base):].strip("/")
-            target = hadoop.Path("/".join(filter(None, [staging, folder, path.getName()[1:]])))
-            to = target.getFileSystem(conf)
-            hadoop.FileUtil.copy(fs, path, to, target, False, True, conf)
-            to.setTimes(target, status.getModificationTime(), -1)
-            n += 1
-    return n
-
-
 def read_plain(spark: SparkSession, root: str, name: str = PLAIN_NAME) -> DataFrame:
     return _read(spark, root, name, PLAIN)
 
