@@ -5,9 +5,11 @@ All rules read the two texts in the pair's own row, so checking pairs is a scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcloom.functions import text as T
@@ -58,7 +60,8 @@ RESULT = (
 @dataclass(frozen=True)
 class Rule:
     """A check as data: when it holds and what it says. A ``passed`` that comes
-    out null (the check could not be made) counts as a failed warning."""
+    out null (the check could not be made) counts as a failed warning; ``check_pairs``
+    turns division by zero, a cast that fails and an index that is not there into nulls."""
 
     name: str
     category: str
@@ -223,9 +226,28 @@ def built_in_rules() -> list[Rule]:
     ]
 
 
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are resolved inside give null where they cannot be computed, however the session is set."""
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def check_pairs(pairs: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:
-    """Pairs with the results of all rules, in rule order, and the blocking flag."""
-    rules = built_in_rules() + list(extra_rules or [])
+    """Pairs with the results of all rules, in rule order, and the blocking flag.
+
+    A rule that cannot be computed for a pair gives a failed warning there and the others go on; only what raises on
+    purpose (``raise_error``, ``assert_true``) ends the job."""
+    with lenient(pairs.sparkSession):
+        return _check_pairs(pairs, built_in_rules() + list(extra_rules or []))
+
+
+def _check_pairs(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
 
     def flag(results: Column) -> Column:
         blocked = F.exists(results, lambda r: ~r["passed"] & (r["severity"] == "error"))

@@ -146,6 +146,25 @@ def custom_rule_results(spark, sf_dir):
     )
 
 
+@query(
+    "failing_rules",
+    MEASURES + """, tried as (select pair_id, unnest([{'n': 'per_id', 'ok': length(migrated)::double / nullif(pair_id % 3, 0) > 100},
+      {'n': 'starts_with_digit', 'ok': try_cast(substr(migrated, 1, 1) as int) >= 0}, {'n': 'line_there', 'ok': string_split(migrated, chr(10))[(pair_id % 40 + 1)::int] <> ''}]) as t from measured)
+      select pair_id, t.n as rule_name, coalesce(t.ok, false) as passed, case when t.ok is null then 'warning' else 'error' end as severity from tried""",
+)
+def failing_rules(spark, sf_dir):
+    """Rules that divide by zero, cast what is no number and look for a line that is not there."""
+    migrated, pair = F.col("migrated"), F.col("pair_id")
+    rules = [
+        R.Rule("per_id", "structural", "error", F.length(migrated) / (pair % 3) > 100, F.lit("")),
+        R.Rule("starts_with_digit", "structural", "error", F.substring(migrated, 1, 1).cast("int") >= 0, F.lit("")),
+        R.Rule("line_there", "structural", "error", F.element_at(F.split(migrated, "\n"), (pair % 40 + 1).cast("int")) != "", F.lit("")),
+    ]
+    checked = R.check_pairs(migration_pairs(spark, sf_dir), rules)
+    own = F.col("rule_name").isin(*[rule.name for rule in rules])
+    return R.rule_results(checked, "pair_id").where(own).select("pair_id", "rule_name", "passed", "severity")
+
+
 @query("blocked_pairs", MEASURES + "select pair_id, blocked from blocked")
 def blocked_pairs(spark, sf_dir):
     return _checked(spark, sf_dir).select("pair_id", "blocked")
