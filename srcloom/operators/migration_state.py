@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions import formats as FM
 from srcloom.functions import text as T
 from srcloom.functions.languages import TARGET_EXTENSIONS
-from srcloom.operators.ordered import cut_in_order, previous_value
+from srcloom.operators.ordered import LEAST, cut_hot_keys, previous_value
+from srcloom.operators.substrings import contained
 
 # The states in order, and where each may go.
 STATES = [
@@ -47,98 +50,160 @@ def is_allowed(from_state: Column, to_state: Column) -> Column:
     return F.concat(from_state, F.lit(">"), to_state).isin(*pairs)
 
 
-def check_transitions(requests: DataFrame, project: str = "project", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def check_transitions(requests: DataFrame, project: str = "project", order: tuple[str, ...] = ("ts", "event_id"), least: int = LEAST) -> DataFrame:
     """Flags each request that may not follow the request before it."""
-    cut = cut_in_order(requests, project, *order)
-    seen = previous_value(cut, project, "to_state", *order)
+    seen = previous_value(requests, project, "to_state", *order, least=least)
     previous = F.coalesce("previous", F.lit(FIRST_STATE))
-    return seen.withColumn("previous", previous).withColumn(
-        "allowed", is_allowed(F.col("previous"), F.col("to_state"))
-    ).drop("chunk")
+    return seen.withColumn("previous", previous).withColumn("allowed", is_allowed(F.col("previous"), F.col("to_state")))
 
 
-def _step(state: str, target: str) -> str:
-    return target if target in ALLOWED[state] else state
+# The machine as arrays: states by number, one number more for anything that is no state and is never allowed.
+_UNKNOWN = len(STATES)
+_ACCEPTED = np.array([[t in ALLOWED[s] for t in STATES] + [False] for s in STATES])
+_NEXT = np.where(_ACCEPTED, np.arange(_UNKNOWN + 1, dtype=np.int8), np.arange(_UNKNOWN, dtype=np.int8)[:, None])
 
 
-def _edges_of_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For the first and the last project of a sorted chunk: the state it ends in
-    for each state it may start in."""
-    steps: dict[tuple, tuple] = {}
-    current = first = None
-    maps = tuple(STATES)
-    chunk = None
+def _codes(column: pa.Array) -> np.ndarray:
+    found = pc.index_in(column, value_set=pa.array(STATES, column.type))
+    return pc.fill_null(found, _UNKNOWN).to_numpy(zero_copy_only=False).astype(np.int8)
 
-    def row(project, states, is_first):
-        return (chunk, project, list(states), is_first)
 
-    rows = []
+def _blocks(column: np.ndarray, size: int, fill) -> np.ndarray:
+    """The column in rows of ``size``, filled up at the end."""
+    out = np.full(-(-len(column) // size) * size, fill, column.dtype)
+    out[: len(column)] = column
+    return out.reshape(-1, size)
+
+
+def _composed(codes: np.ndarray, reset: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each block (row) the state it ends in for each state it may begin in; all blocks step together."""
+    states = np.tile(np.arange(_UNKNOWN, dtype=np.int8), (len(codes), 1))
+    for target, again, first in zip(codes.T, reset.T, start.T, strict=True):
+        states[again] = first[again, None]
+        states = _NEXT[states, target[:, None]]
+    return states
+
+
+def _scanned(maps: np.ndarray) -> np.ndarray:
+    """Each map after all maps before it: a parallel prefix scan."""
+    out, reach = maps.copy(), 1
+    while reach < len(out):
+        out[reach:] = np.take_along_axis(out[reach:], out[:-reach].astype(np.int64), axis=1)
+        reach *= 2
+    return out
+
+
+def states_before(codes: np.ndarray, reset: np.ndarray, start: np.ndarray, state: int) -> np.ndarray:
+    """The state before each request; ``reset`` marks the first of a project (or piece), which begins in ``start``."""
+    n, size = len(codes), max(16, int(len(codes) ** 0.5))
+    codes, reset, start = _blocks(codes, size, _UNKNOWN), _blocks(reset, size, False), _blocks(start, size, 0)
+    now = np.full(len(codes), state, np.int8)
+    now[1:] = _scanned(_composed(codes, reset, start))[:-1, state]
+    before = np.empty_like(codes)
+    for i, (target, again, first) in enumerate(zip(codes.T, reset.T, start.T, strict=True)):
+        before[:, i] = np.where(again, first, now)
+        now = _NEXT[before[:, i], target]
+    return before.ravel()[:n]
+
+
+def _first_of_group(batch: pa.RecordBatch, keys: tuple[str, ...], last: tuple | None) -> np.ndarray:
+    """Which rows begin a new group of the keys; rows of a group follow each other."""
+    out = np.zeros(batch.num_rows, bool)
+    out[0] = last != tuple(batch.column(k)[0].as_py() for k in keys)
+    for k in keys:
+        codes = batch.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        out[1:] |= codes[1:] != codes[:-1]
+    return out
+
+
+def _ends_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each piece of a hot project the state it ends in for each state it may begin in."""
+    last, maps, found = None, None, []
+    keys = ("project", "_piece")
+    kind = pa.int64()
     for batch in batches:
-        for project, target, number in zip(batch["project"], batch["to_state"], batch["chunk"]):
-            chunk = number
-            if project != current:
-                if current is not None and first is None:
-                    first = current
-                    rows.append(row(current, maps, True))
-                current, maps = project, tuple(STATES)
-            key = (maps, target)
-            after = steps.get(key)
-            if after is None:
-                after = steps[key] = tuple(_step(s, target) for s in maps)
-            maps = after
-    if current is not None:
-        rows.append(row(current, maps, first is None))
-    yield pd.DataFrame(rows, columns=["chunk", "project", "ends", "is_first"])
-
-
-def _start_states(edges: DataFrame) -> dict[int, tuple]:
-    """State in which each chunk's first project stands when the chunk begins.
-    At most two rows per chunk reach the driver."""
-    starts, open_project, state = {}, None, FIRST_STATE
-    for r in sorted(edges.collect(), key=lambda r: (r["chunk"], not r["is_first"])):
-        if r["project"] != open_project:
-            open_project, state = r["project"], FIRST_STATE
-        elif r["is_first"]:
-            starts[r["chunk"]] = (open_project, state)
-        state = r["ends"][STATES.index(state)]
-    return starts
-
-
-def fold_transitions(requests: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), chunks: int | None = None) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        kind = batch.column("project").type
+        begins = _first_of_group(batch, keys, last)
+        codes = _codes(batch.column("to_state"))
+        bounds = sorted({0, *np.flatnonzero(begins).tolist(), len(codes)})
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if begins[a]:
+                if maps is not None:
+                    found.append((*last, maps.tolist()))
+                maps, last = np.arange(_UNKNOWN, dtype=np.int8), tuple(batch.column(k)[a].as_py() for k in keys)
+            own = _blocks(codes[a:b], max(16, int((b - a) ** 0.5)), _UNKNOWN)
+            maps = _scanned(_composed(own, np.zeros(own.shape, bool), np.zeros_like(own)))[-1][maps]
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+    if maps is not None:
+        found.append((*last, maps.tolist()))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int32()))], ["project", "_piece", "ends"]
+    )
+
+
+def _begins_of_pieces(cut: DataFrame, hot: DataFrame, first: DataFrame | None, order: tuple[str, ...]) -> DataFrame:
+    """(project, _piece, _begin) of the hot projects. One row per piece reaches the driver: their number is bounded."""
+    spark, kind = cut.sparkSession, cut.schema["project"].dataType.simpleString()
+    same = F.col("project").eqNullSafe(F.col("_key"))
+    pieces = cut.join(F.broadcast(hot), same).select("project", "_piece", "to_state", *order)
+    pieces = pieces.repartition("project", "_piece").sortWithinPartitions("project", "_piece", *order).select("project", "_piece", "to_state")
+    ends = pieces.mapInArrow(_ends_of_pieces, f"project {kind}, _piece int, ends array<int>").collect()
+    known = {} if first is None else {r[0]: r[1] for r in first.join(F.broadcast(hot), same).select("project", "state").collect()}
+    rows, project, state = [], None, None
+    for r in sorted(ends, key=lambda r: (str(r["project"]), r["_piece"])):
+        if state is None or r["project"] != project:
+            project, state = r["project"], STATES.index(known.get(r["project"], FIRST_STATE))
+        rows.append((project, r["_piece"], STATES[state]))
+        state = r["ends"][state]
+    return spark.createDataFrame(rows, f"_project {kind}, _at int, _begin string")
+
+
+def fold_transitions(
+    requests: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), starts: DataFrame | None = None, least: int = LEAST, chunks: int | None = None
+) -> DataFrame:
     """Strict state machine: a request that is not allowed is rejected and the
     state stays. Adds ``from_state``, ``accepted`` and ``state``.
 
-    Applying a request is a map from state to state, and maps can be composed:
-    one pass composes each chunk's edge projects, the starts follow from those,
-    a second pass replays every chunk on its own. A project of any size is
-    replayed by many tasks.
+    A project begins in the first state, or in that of ``starts`` (project, state). Applying a request is a map from
+    state to state. Rows come in order of project; within a batch of rows blocks of requests are composed side by side, a
+    prefix scan gives the state in which each block begins, and a second pass fills it in. Projects that are too large
+    for one task are cut into pieces, whose maps are composed first, so a project of any size is replayed by many tasks.
     """
-    key = requests.schema["project"].dataType.simpleString()
-    rest = [f"{f.name} {f.dataType.simpleString()}" for f in requests.schema if f.name != "chunk"]
-    cut = cut_in_order(requests, "project", *order, chunks=chunks)
-    edges = cut.select("project", "to_state", "chunk").mapInPandas(
-        _edges_of_chunk, f"chunk int, project {key}, ends array<string>, is_first boolean"
-    )
-    starts = _start_states(edges)
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, FIRST_STATE
+    added = ("from_state", "accepted", "state")
+    requests = requests.drop(*added)
+    first = None if starts is None else starts.select("project", "state")
+    cut, hot = cut_hot_keys(requests, "project", order[0], least, chunks)
+    begin = F.lit(FIRST_STATE)
+    if first is not None:
+        named = first.select(F.col("project").alias("_project_"), F.col("state").alias("_known"))
+        cut = cut.join(named, F.col("project").eqNullSafe(F.col("_project_")), "left")
+        begin = F.coalesce("_known", begin)
+    if hot is not None:
+        pieces = F.broadcast(_begins_of_pieces(cut, hot, first, order))
+        cut = cut.join(pieces, F.col("project").eqNullSafe(F.col("_project")) & (F.col("_piece") == F.col("_at")), "left")
+        begin = F.coalesce("_begin", begin)
+    names = requests.columns
+    by_piece = ["project"] if hot is None else ["project", "_piece"]
+    spread = cut.select(*names, "_piece", begin.alias("_start")).repartition(*by_piece).sortWithinPartitions("project", "_piece", *order)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, keys = None, 0, ("project", "_piece")
+        text = pa.array(STATES)
         for batch in batches:
-            before, accepted, after = [], [], []
-            for project, target, chunk in zip(batch["project"], batch["to_state"], batch["chunk"]):
-                if project != current:
-                    carried = starts.get(chunk)
-                    state = carried[1] if current is None and carried and carried[0] == project else FIRST_STATE
-                    current = project
-                nxt = _step(state, target)
-                before.append(state)
-                accepted.append(target in ALLOWED[state])
-                after.append(nxt)
-                state = nxt
-            out = batch.drop(columns=["chunk"])
-            yield out.assign(from_state=before, accepted=accepted, state=after)
-
-    return cut.mapInPandas(replay, ", ".join([*rest, "from_state string", "accepted boolean", "state string"]))
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = _codes(batch.column("to_state"))
+            before = states_before(codes, _first_of_group(batch, keys, last), _codes(batch.column("_start")), state)
+            after = _NEXT[before, codes]
+            state, last = int(after[-1]), tuple(batch.column(k)[n - 1].as_py() for k in keys)
+            columns = [*(batch.column(c) for c in names), text.take(pa.array(before)), pa.array(_ACCEPTED[before, codes]), text.take(pa.array(after))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), "from_state string", "accepted boolean", "state string"])
+    return spread.mapInArrow(replay, shape)
 
 
 def final_states(folded: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -173,8 +238,8 @@ def to_resume(segments: DataFrame, done: DataFrame, max_attempts: int = MAX_ATTE
     return segments.join(out, ["project", "segment_id"], "left_anti")
 
 
-def progress(segments: DataFrame) -> DataFrame:
-    """Counters per project; the percentage of nothing is 0."""
+def progress(segments: DataFrame, **totals: Column) -> DataFrame:
+    """Counters per project; the percentage of nothing is 0. ``totals`` are further aggregates of the same rows, by name."""
     total, done = F.col("total_segments"), F.col("completed")
     return (
         segments.groupBy("project")
@@ -182,6 +247,7 @@ def progress(segments: DataFrame) -> DataFrame:
             F.count("segment_id").alias("total_segments"),
             F.count_if(F.col("state") == "validated").alias("completed"),
             F.count_if(F.col("state") == "failed").alias("failed"),
+            *[c.alias(n) for n, c in totals.items()],
         )
         .withColumn("pending", total - done - F.col("failed"))
         .withColumn("progress_pct", F.when(total > 0, done / total * 100).otherwise(F.lit(0.0)))
@@ -229,6 +295,28 @@ def compile_cascade(segments: DataFrame, compiled: DataFrame, target: str, error
     }).drop("compile_ok", "compile_errors")
 
 
+def compile_cascade_by_stem(segments: DataFrame, compiled: DataFrame, error_chars: int = 100) -> DataFrame:
+    """The same where a compiled file counts for every source whose stem is any part of its name.
+
+    Of several such files the last one by name counts; segments of sources without any keep what they have."""
+    had = lambda c, kind: F.col(c) if c in segments.columns else F.lit(None).cast(kind)
+    errors = F.col("errors") if "errors" in compiled.columns else F.lit("")
+    files = compiled.select(
+        T.basename(F.col("out_file")).alias("text"), F.col("success").alias("ok"), F.left(F.coalesce(errors, F.lit("")), F.lit(error_chars)).alias("compile_errors")
+    )
+    results = files.groupBy("text").agg(F.max_by(F.struct("ok", "compile_errors"), F.struct("ok", "compile_errors")).alias("result"))
+    named = segments.withColumn("_stem", T.stem(F.col("path")))
+    # the last file of each stem is a maximum, so a stem with very many files is partial aggregates
+    last = contained(named, files, "_stem").groupBy(F.col("name").alias("_stem")).agg(F.max("text").alias("text"))
+    found = last.join(results, "text").select("_stem", "result")
+    passed, failed = F.col("result.ok"), ~F.col("result.ok")
+    return named.join(found, "_stem", "left").withColumns({
+        "state": F.when(passed, "validated").when(failed, "failed").otherwise(F.col("state")),
+        "validation_passed": F.when(passed, True).otherwise(had("validation_passed", "boolean")),
+        "last_error": F.when(failed, F.concat(F.lit("compile: "), "result.compile_errors")).otherwise(had("last_error", "string")),
+    }).drop("_stem", "result")
+
+
 def compile_summary(compiled: DataFrame, *keys: str) -> DataFrame:
     return compiled.groupBy(*keys).agg(
         F.count_if("success").alias("passed"), F.count_if(~F.col("success")).alias("failed"), F.count("*").alias("total")

@@ -6,6 +6,8 @@ from srcloom.plans import (  # noqa: F401
     prompt_queries,
     rewrite_queries,
     state_queries,
+    stream_queries,
     structure_queries,
+    tree_queries,
 )
 from srcloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -155,6 +155,16 @@ def compile_cascade(spark, sf_dir):
     return M.compile_cascade(rows, compiled(spark, sf_dir), "rust").select("path", "segment_id", "state", "validation_passed", "last_error")
 
 
+@query("compile_cascade_by_stem", SEGMENTS + f""", {_COMPILED}, stems as (select distinct regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[a-z]+$', '') as stem from segments),
+  names as (select regexp_replace(out_file, '^.*/', '') as name, success, errors from compiled),
+  last as (select stem, arg_max(success, name) as success, arg_max(errors, name) as errors from stems join names on contains(name, stem) group by stem)
+  select path, segment_id, case when success then 'validated' else 'failed' end as state, case when success then true end as validation_passed,
+    case when not success then concat('compile: ', left(errors, 100)) end as last_error from segments join last on stem = regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[a-z]+$', '')""")
+def compile_cascade_by_stem(spark, sf_dir):
+    rows = corpus_segments(spark, sf_dir).select("path", "segment_id", F.lit("migrated").alias("state"))
+    return M.compile_cascade_by_stem(rows, compiled(spark, sf_dir)).select("path", "segment_id", "state", "validation_passed", "last_error")
+
+
 @query("compile_summary", f"with {_COMPILED} select kind, count(*) filter (where success) as passed, count(*) filter (where not success) as failed, count(*) as total from compiled group by kind")
 def compile_summary(spark, sf_dir):
     return M.compile_summary(compiled(spark, sf_dir), "kind")

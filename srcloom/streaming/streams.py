@@ -2,101 +2,152 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from srcloom.functions import languages as L
 from srcloom.functions import text as T
 from srcloom.operators import migration_state as M
-from srcloom.operators.symbols import analyse_corpus
 from srcloom.operators.segments import segment_corpus
+from srcloom.operators.symbols import analyse_corpus
+from srcloom.streaming.tables import Commit, add_part, commit, newest, read_parts, write_part
 
-_FOLDED = "project bigint, ts timestamp, event_id bigint, to_state string, from_state string, accepted boolean, state string"
-
-
-def fold_transitions_stream(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The strict state machine on a stream, one state per project.
-
-    Requests may come late within ``delay``: they wait in the project's state
-    until the watermark has passed them and are then applied in (ts, event_id)
-    order, so what a project goes through does not depend on how requests were
-    cut into batches. State is the current step and the waiting requests; the
-    source's rate limit bounds what one project adds per batch.
-    """
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        current, waiting = (state.get[0], json.loads(state.get[1])) if state.exists else (M.FIRST_STATE, [])
-        for batch in batches:
-            # Whole microseconds: the same integers on every worker.
-            micros = batch["ts"].to_numpy("datetime64[us]").astype("int64")
-            waiting.extend(zip(micros.tolist(), batch["event_id"].tolist(), batch["to_state"].tolist()))
-        waiting = sorted(map(tuple, waiting))
-        closed = state.getCurrentWatermarkMs() * 1000
-        due = [w for w in waiting if w[0] <= closed]
-        later = waiting[len(due):]
-        rows = []
-        for micros, event_id, target in due:
-            accepted = target in M.ALLOWED[current]
-            after = target if accepted else current
-            rows.append((key[0], pd.Timestamp(micros, unit="us"), event_id, target, current, accepted, after))
-            current = after
-        state.update((current, json.dumps(later)))
-        if later:
-            # Wake up when the watermark reaches the first waiting request.
-            state.setTimeoutTimestamp(max(later[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            rows, columns=["project", "ts", "event_id", "to_state", "from_state", "accepted", "state"]
-        )
+#: Changes that a table keeps side by side before they are merged.
+PARTS = 10
+_ORDER = ("ts", "event_id")
 
-    return (
-        requests.select("project", "ts", "event_id", "to_state")
-        .withWatermark("ts", delay)
-        .groupBy("project")
-        .applyInPandasWithState(
-            step, _FOLDED, "current string, waiting string", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+
+def _key(rows: DataFrame) -> str:
+    return rows.schema["project"].dataType.simpleString()
+
+
+def _state_schema(key: str) -> str:
+    return f"project {key}, state string, seen struct<ts: timestamp, event_id: bigint>"
+
+
+def _newest_states(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("project").agg(F.max_by("state", "seen").alias("state"), F.max("seen").alias("seen"))
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {interval}"))).first()[0]
+
+
+def _apply(spark: SparkSession, root: str, rows: DataFrame, before: Commit, batch_id: int, delay: int | None, most: int) -> None:
+    """One commit: rows that are in time join those that wait, and all up to the new closing time are applied in order."""
+    key, shape = _key(rows), rows.schema
+    entry = Commit(seq=before.seq + 1, batch_id=batch_id)
+    micros = F.unix_micros("ts")
+    late = F.coalesce(micros <= F.lit(before.closed), micros.isNull()) if before.closed is not None else micros.isNull()
+    arrived = rows.withColumn("late", late)
+    if before.waiting:
+        kept = spark.read.schema(arrived.schema).parquet(f"{root}/{before.waiting}").where(~F.col("late"))
+        arrived = arrived.unionByName(kept if before.closed is None else kept.where(micros > before.closed))
+        entry.garbage.append(before.waiting)
+    entry.waiting = f"waiting/{entry.seq:010d}"
+    arrived = write_part(arrived, root, entry.waiting)
+    last = arrived.where(~F.col("late")).agg(F.max(micros)).first()[0]
+    entry.closed = before.closed
+    if last is not None:
+        entry.closed = max(last - (delay or 0), before.closed if before.closed is not None else last - (delay or 0))
+    due = arrived.where(~F.col("late") & (micros <= F.lit(entry.closed))).drop("late")
+    starts = _newest_states(read_parts(spark, root, before.parts, _state_schema(key)))
+    folded = M.fold_transitions(due, _ORDER, starts=starts).withColumn("late", F.lit(False))
+    unused = arrived.where("late").select(*shape.names, F.lit(None).cast("string").alias("from_state"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("state"), F.lit(True).alias("late"))
+    log = write_part(folded.unionByName(unused), root, f"log/seq={entry.seq}")
+    changed = log.where("not late").groupBy("project").agg(F.max_by("state", F.struct(*_ORDER)).alias("state"), F.max(F.struct(*_ORDER)).alias("seen"))
+    add_part(changed, root, "states", entry, before, _newest_states, most)
+    commit(spark, root, entry, before)
+
+
+def write_states(requests: DataFrame, target: str, checkpoint: str, delay: str = "10 minutes", most: int = PARTS) -> StreamingQuery:
+    """The strict state machine on a stream, kept as a table below ``target``: nothing that arrives is lost.
+
+    A request (project, ts, event_id, to_state) waits until a request later by ``delay`` has been seen; then it is applied
+    in the order of (ts, event_id) to the state its project has, so what a project goes through does not depend on how
+    requests were cut into batches. A request for a time that has been applied already is not applied; it comes out in the
+    log marked ``late``, without states, and so does one without a time. ``flush_states`` applies what still waits. One project's requests may fill many
+    tasks. Waiting requests and the changed states are written per batch; a batch that comes again changes nothing."""
+
+    def one_batch(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        before = newest(spark, target)
+        if batch_id > before.batch_id:
+            _apply(spark, target, rows.select("project", "ts", "event_id", "to_state"), before, batch_id, _micros(spark, delay), most)
+
+    return requests.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def flush_states(spark: SparkSession, target: str, key: str = "bigint") -> None:
+    """Apply all that still waits: the end of a bounded run. Requests of the same time that come after it are late."""
+    before = newest(spark, target)
+    if before.waiting:
+        none = spark.createDataFrame([], f"project {key}, ts timestamp, event_id bigint, to_state string")
+        _apply(spark, target, none, before, before.batch_id, None, PARTS)
+
+
+def read_state_log(spark: SparkSession, target: str) -> DataFrame:
+    """All requests applied so far with from_state, accepted, state, and those that came late."""
+    return spark.read.parquet(f"{target}/log").where(F.col("seq") <= newest(spark, target).seq).drop("seq")
+
+
+def read_states(spark: SparkSession, target: str, key: str = "bigint") -> DataFrame:
+    """The state of each project."""
+    return _newest_states(read_parts(spark, target, newest(spark, target).parts, _state_schema(key))).select("project", "state")
 
 
 def read_requests(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def progress_stream(updates: DataFrame) -> DataFrame:
-    """Latest state per segment, to be written in update mode; progress is then a
-    batch aggregate over one row per segment."""
+def _changes(updates: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """One row per segment: of each known field the last value that is not null with its time, and the counts."""
+    when = F.struct(*_ORDER)
+    fields = [f for f in M.SEGMENT_FIELDS if f in updates.columns and f not in counts]
     return updates.groupBy("project", "segment_id").agg(
-        F.max_by("state", F.struct("ts", "event_id")).alias("state"),
-        F.max(F.struct("ts", "event_id")).alias("seen"),
+        *[F.max(F.when(F.col(f).isNotNull(), F.struct(when.alias("seen"), F.col(f).alias("value")))).alias(f) for f in fields],
+        *[c.cast("bigint").alias(n) for n, c in counts.items()],
     )
 
 
-def write_progress(updates: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Live progress: every batch writes the changed segments under its own number,
-    so a repeated batch replaces itself. ``read_progress`` keeps the newest."""
+def _merged(parts: DataFrame) -> DataFrame:
+    """Later values win, counts add up."""
+    others = [f for f in parts.schema if f.name not in ("project", "segment_id")]
+    return parts.groupBy("project", "segment_id").agg(
+        *[(F.max(f.name) if f.dataType.typeName() == "struct" else F.sum(f.name)).alias(f.name) for f in others]
+    )
 
-    def upsert(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return (
-        progress_stream(updates).writeStream.outputMode("update").foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def write_progress(updates: DataFrame, target: str, checkpoint: str, counts: dict[str, Column] | None = None, most: int = PARTS) -> StreamingQuery:
+    """Live progress: every batch adds the changed segments to a table below ``target``.
 
+    ``updates`` are (project, segment_id, ts, event_id) with any of the fields of a segment; of each field the last
+    value that is not null counts, in whatever order rows arrive. ``counts`` are aggregates that add up over batches, by name. A
+    batch that comes again changes nothing; parts are merged every ``most`` batches, so their files stay few."""
 
-def read_progress(spark: SparkSession, target: str) -> DataFrame:
-    newest = (
-        spark.read.parquet(target).groupBy("project", "segment_id").agg(F.max_by("state", "seen").alias("state"))
-    )
-    return M.progress(newest)
+    def upsert(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        before = newest(spark, target)
+        if batch_id > before.batch_id:
+            entry = Commit(seq=before.seq + 1, batch_id=batch_id)
+            add_part(_changes(rows, counts or {}), target, "segments", entry, before, _merged, most)
+            commit(spark, target, entry, before)
+
+    return updates.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_segments(spark: SparkSession, target: str) -> DataFrame:
+    """One row per segment: its fields and counts as of the last commit."""
+    parts = newest(spark, target).parts
+    rows = _merged(spark.read.parquet(*[f"{target}/{p}" for p in parts]))
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema}
+    return rows.select(*[F.col(f"{c}.value").alias(c) if kinds[c] == "struct" else F.col(c) for c in rows.columns])
+
+
+def read_progress(spark: SparkSession, target: str, **totals: Column) -> DataFrame:
+    """Counters per project as of the last commit; ``totals`` are further aggregates over its segments, by name."""
+    return M.progress(read_segments(spark, target), **totals)
 
 
 def analyse_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from srcloom.operators import pair_rules as R
 from srcloom.operators import prompts as P
 from srcloom.operators import rewrite as RW
+from srcloom.operators.substrings import contained
 
 CPP = 'int add(int a, int b) {\n    return a + b;\n}\nvoid hi() {\n    printf("hello there");\n}\n'
 GOOD = 'use std::io;\nfn add(a: i32, b: i32) -> i32 {\n    a + b\n}\nfn hi() {\n    println!("hello there");\n}\n'
@@ -94,3 +95,27 @@ def test_includes_are_mapped_once(spark):
 )
 def test_clean_response(spark, given, want):
     assert spark.createDataFrame([(given,)], "r string").select(P.clean_response(F.col("r")).alias("c")).first().c == want
+
+
+def test_rules_that_cannot_be_computed_fail_as_warnings(spark):
+    pairs = spark.createDataFrame([(1, CPP, GOOD, "cpp", "rust"), (2, CPP, "7" + GOOD, "cpp", "rust")], "pair_id int, source string, migrated string, source_language string, target_language string")
+    rules = [
+        R.Rule("zero", "structural", "error", F.length("migrated") / (F.col("pair_id") - 1) > 1, F.lit("ok")),
+        R.Rule("cast", "structural", "error", F.substring("migrated", 1, 1).cast("int") > 6, F.lit("ok")),
+        R.Rule("index", "structural", "error", F.split("migrated", "\n")[F.col("pair_id") * 4] != "", F.lit("ok")),
+    ]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    rows = R.rule_results(R.check_pairs(pairs, rules), "pair_id").where("rule_name in ('zero', 'cast', 'index')").collect()
+    assert spark.conf.get("spark.sql.ansi.enabled") == before
+    assert {(r.pair_id, r.rule_name): (r.passed, r.severity) for r in rows} == {
+        (1, "zero"): (False, "warning"), (2, "zero"): (True, "error"), (1, "cast"): (False, "warning"), (2, "cast"): (True, "error"),
+        (1, "index"): (True, "error"), (2, "index"): (False, "warning"),
+    }
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_names_contained_in_texts(spark, most):
+    names = ["a", "ab", "abc", "main", "x", "zz", "", None, "ñu", "in.rs", "longer than any text there is"]
+    texts = ["main.rs", "abcabc.rs", "xabx", "", None, "ñu.rs", "ñ.rs", "a", "zaz"]
+    got = contained(spark.createDataFrame([(n,) for n in names * 2], "n string"), spark.createDataFrame([(t,) for t in texts * 2], "t string"), "n", "t", most=most)
+    assert sorted((r.name, r.text) for r in got.collect()) == sorted((n, t) for n in names if n for t in texts if t and n in t)

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from srcloom.operators import migration_state as M
 from srcloom.plans import state_queries as Q
 from srcloom.sources import code_tree as CT
+from srcloom.sources import file_tree as FT
 from srcloom.sources import fixed_width as FW
 from srcloom.sources import state_files as SF
 
@@ -37,6 +39,27 @@ def test_fold_of_one_hot_project(spark, chunks):
     assert final["a"] == ("completed", 0) and final["z"] == ("idle", 1)
 
 
+@pytest.mark.parametrize("least", [3, 10, 100])
+def test_fold_in_pieces(spark, least):
+    """Hot projects are cut into pieces; ties of time stay together; starts and unknown states count."""
+    rng = random.Random(least)
+    rows = [(p, rng.randrange(n), i, rng.choice([*M.STATES, "odd", None])) for p, n in (("a", 3), ("hot", 90), (None, 40), ("one", 1)) for i in range(5 * n)]
+    given = spark.createDataFrame(rows, "project string, t int, event_id int, to_state string").withColumn("ts", F.timestamp_seconds("t"))
+    starts = spark.createDataFrame([("hot", "migrating"), ("a", "failed"), ("new", "idle")], "project string, state string")
+    got = {(r.project, r.event_id): (r.from_state, r.accepted, r.state) for r in M.fold_transitions(given, starts=starts, least=least, chunks=8).collect()}
+    checked = {(r.project, r.event_id): r.previous for r in M.check_transitions(given, least=least).collect()}
+    want, previous = {}, {}
+    for project in {r[0] for r in rows}:
+        state, last = {"hot": "migrating", "a": "failed"}.get(project, "idle"), None
+        for _, _, i, target in sorted((r for r in rows if r[0] == project), key=lambda r: (r[1], r[2])):
+            accepted = target in M.ALLOWED[state]
+            want[project, i] = (state, accepted, target if accepted else state)
+            previous[project, i] = last or "idle"
+            state, last = want[project, i][2], target
+    assert got == want and checked == previous
+    assert M.fold_transitions(given.limit(0), least=least).collect() == []
+
+
 def test_transition_check_of_one_hot_project(spark):
     checked = M.check_transitions(requests(spark, {"hot": HAPPY * 10, "b": ["analyzing"]}))
     rows = checked.where("project = 'hot'").orderBy("ts").collect()
@@ -86,6 +109,33 @@ def test_code_tree(spark, tmp_path):
     ]
 
 
+def test_file_tree_round_trip(spark, tmp_path):
+    rows = [("a/b.cpp", "int x;\n", "fn b() {}\n"), ("a/c.java", "class C {}\n", None), ("top.cob", "", ""), ("ü/deep/er/x.rs", "use a;\n", None)]
+    files = spark.createDataFrame(rows, "path string, content string, migrated_code string").repartition(3)
+    root = str(tmp_path / "out")
+    for _ in range(2):  # the second time over the first
+        CT.write_code_tree(files, root, "rust")
+        got = {r.path: (bytes(r.content).decode(), r.length, r.is_dir) for r in FT.read_tree(spark, root, spread="3").collect()}
+        want = {"a/b.rs": "fn b() {}\n", "a/c.java": "class C {}\n", "top.rs": "", "ü/deep/er/x.rs": "use a;\n"}
+        assert got == {p: (t, len(t.encode()), False) for p, t in want.items()}
+        # the scan of code leaves empty files out, as Spark's reader of binary files does
+        assert {r.path: r.content for r in CT.scan_code_tree(spark, root).collect()} == {p: t for p, t in want.items() if t}
+    assert sorted(os.listdir(tmp_path)) == ["out"]
+    assert [(r.name, r.is_dir, r.size) for r in CT.list_folder(spark, root).collect()] == [("a", True, None), ("ü", True, None), ("top.rs", False, 0)]
+    with pytest.raises(ValueError, match="more than once"):
+        CT.write_code_tree(files.union(spark.createDataFrame([("a/b.c", "", "x")], files.schema)), root, "rust")
+    with pytest.raises(Exception, match="FileExistsError"):
+        FT.write_tree(files.limit(1), str(tmp_path / "out"), overwrite=False)
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    files = spark.createDataFrame([("ok/one.rs", "x"), ("../out.rs", "y")], "path string, content string").repartition(2)
+    with pytest.raises(Exception, match="not a path below"):
+        FT.write_tree(files, str(tmp_path / "out"))
+    assert os.listdir(tmp_path) == []
+    assert FT.read_tree(spark, str(tmp_path / "nowhere")).collect() == []
+
+
 def test_size_limit_reaches_the_reader(spark, tmp_path):
     (tmp_path / "a.rs").write_text("fn a() {}")
     df = CT.scan_code_tree(spark, str(tmp_path), max_bytes=50).select("path")
@@ -106,14 +156,13 @@ def test_state_files(spark, tmp_path):
     bad.write_text("{ not json")
     boss.write_text(json.dumps({"client": {"name": "Bank"}, "execution": {"status": "failed"}}))
     os.utime(good, (2_000_000_000, 2_000_000_000))
-    staged = str(tmp_path / "staged")
-    assert SF.stage_hidden(spark, str(tmp_path / "in"), staged) == 3
-    plain, supervised = SF.read_plain(spark, staged), SF.read_supervised(spark, staged)
+    root = str(tmp_path / "in")
+    plain, supervised = SF.read_plain(spark, root, SF.HIDDEN_NAMES[0]), SF.read_supervised(spark, root, SF.HIDDEN_NAMES[1])
     assert plain.first().mtime.year == 2033
     assert [(r.project_name, r.state) for r in plain.collect()] == [("pay", "analyzing")]
     assert [(r.project, r.segment_key, r.attempts) for r in SF.state_segments(plain).collect()] == [("pay", "a::b", 2)]
     assert SF.state_events(plain).count() == 1
-    assert SF.latest_snapshot(plain, supervised).first().path.endswith("p3/supervised_state.json")
+    assert SF.latest_snapshot(plain, supervised).first().path.endswith("p3/.supervised_state.json")
     SF.write_state(plain.drop("path", "mtime"), str(tmp_path / "out"))
     assert SF.read_state_table(spark, str(tmp_path / "out")).first().segments["a::b"].state == "pending"
 
