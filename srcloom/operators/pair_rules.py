@@ -30,6 +30,7 @@ TYPE_PATTERNS = {
     "java": rf"{WB}class{S}+{W}+",
     "rust": rf"{WB}(?:struct|enum){S}+{W}+",
 }
+# Crates that are known, and the marks of C and C++ that Rust code should not hold, with their labels.
 KNOWN_CRATES = [
     "std", "core", "alloc", "collections", "io", "fs", "fmt", "sync", "thread", "net", "path",
     "env", "process", "serde", "tokio", "anyhow", "thiserror", "clap",
@@ -79,7 +80,7 @@ class Rule:
             passed.alias("passed"),
             F.lit(self.category).alias("category"),
             F.when(broken, "warning").otherwise(self.severity).alias("severity"),
-            F.when(broken, "Error ejecutando regla").otherwise(self.message).alias("message"),
+            F.when(broken, "rule could not be computed").otherwise(self.message).alias("message"),
             F.when(passed | broken, "").otherwise(details).alias("details"),
         )
 
@@ -141,9 +142,9 @@ def pair_measures(pairs: DataFrame) -> DataFrame:
     issues = F.concat(
         F.when(
             m("opens") != m("closes"),
-            F.array(F.format_string("Llaves desbalanceadas: { =%d, } =%d", m("opens"), m("closes"))),
+            F.array(F.format_string("braces: %d open, %d close", m("opens"), m("closes"))),
         ).otherwise(F.array().cast("array<string>")),
-        F.transform(m("markers"), lambda x: F.concat(F.lit("Código C++ residual: "), x)),
+        F.transform(m("markers"), lambda x: F.concat(F.lit("mark left: "), x)),
     )
     return pairs.withColumns({f"m_{n}": c for n, c in measured.items()}).withColumns(
         {
@@ -157,71 +158,44 @@ def pair_measures(pairs: DataFrame) -> DataFrame:
 def built_in_rules() -> list[Rule]:
     m = lambda name: F.col(f"m_{name}")
     is_rust = F.col("target_language") == "rust"
-    not_rust = "No aplica (target no es Rust)"
+    not_rust = "only for Rust"
     ratio = m("target_lines") / m("source_lines")
     kept, had, issues = m("kept"), m("had"), m("issues")
-    suspicious = F.concat(F.lit("['"), F.array_join(m("suspicious"), "', '"), F.lit("']"))
+    suspicious = F.concat(F.lit("["), F.array_join(m("suspicious"), ", "), F.lit("]"))
+    share = F.round(kept / F.greatest(had, F.lit(1)) * 100).cast("int")
+
+    def before_after(what: str) -> Column:
+        return F.format_string(f"{what}: %d before, %d after", m(f"source_{what}"), m(f"target_{what}"))
+
     return [
         Rule(
-            "function_count", "structural", "warning",
-            m("target_functions") >= m("source_functions") * F.lit(MIN_FUNCTION_RATIO),
-            F.format_string("Funciones: original=%d, migrado=%d", m("source_functions"), m("target_functions")),
-            F.format_string(
-                "El código migrado tiene significativamente menos funciones (%d vs %d). "
-                "La IA puede haber omitido lógica.", m("target_functions"), m("source_functions"),
-            ),
+            "function_count", "structural", "warning", m("target_functions") >= m("source_functions") * F.lit(MIN_FUNCTION_RATIO),
+            before_after("functions"), F.lit(f"at least {MIN_FUNCTION_RATIO:.0%} of the functions should be there"),
         ),
         Rule(
-            "struct_count", "structural", "warning",
-            m("target_types") >= m("source_types") * F.lit(MIN_TYPE_RATIO),
-            F.format_string("Tipos de datos: original=%d, migrado=%d", m("source_types"), m("target_types")),
-            F.lit("El código migrado perdió tipos de datos del original."),
+            "struct_count", "structural", "warning", m("target_types") >= m("source_types") * F.lit(MIN_TYPE_RATIO),
+            before_after("types"), F.lit(f"at least {MIN_TYPE_RATIO:.0%} of the types should be there"),
         ),
         Rule(
-            "no_empty_output", "semantic", "error",
-            m("target_chars") > MIN_OUTPUT_CHARS,
-            F.when(m("target_chars") > MIN_OUTPUT_CHARS, "Código migrado no vacío").otherwise(
-                "Código migrado vacío o trivial"
-            ),
+            "no_empty_output", "semantic", "error", m("target_chars") > MIN_OUTPUT_CHARS,
+            F.format_string("characters: %d", m("target_chars")), F.lit(f"more than {MIN_OUTPUT_CHARS} characters expected"),
         ),
         Rule(
-            "size_ratio", "semantic", "warning",
-            ratio.between(MIN_SIZE_RATIO, MAX_SIZE_RATIO),
-            F.format_string("Ratio de tamaño: %.2fx (%d → %d líneas)", ratio, m("source_lines"), m("target_lines")),
-            F.format_string(
-                "El ratio %.2fx está fuera de rango [0.3, 4.0]. "
-                "La IA puede haber generado código excesivo o incompleto.", ratio,
-            ),
+            "size_ratio", "semantic", "warning", ratio.between(MIN_SIZE_RATIO, MAX_SIZE_RATIO),
+            before_after("lines"), F.format_string(f"%.2f times the lines, {MIN_SIZE_RATIO} to {MAX_SIZE_RATIO} expected", ratio),
         ),
         Rule(
-            "no_hallucinated_imports", "semantic", "warning",
-            ~is_rust | (F.size(m("suspicious")) == 0),
-            F.when(~is_rust, not_rust).when(F.size(m("suspicious")) == 0, "Sin imports sospechosos").otherwise(
-                F.concat(F.lit("Imports posiblemente alucinados: "), suspicious)
-            ),
-            F.concat(
-                F.lit("Los crates "), suspicious,
-                F.lit(" no son parte de std ni crates comunes. Verificar que existen antes de usar."),
-            ),
+            "no_hallucinated_imports", "semantic", "warning", ~is_rust | (F.size(m("suspicious")) == 0),
+            F.when(~is_rust, not_rust).otherwise(F.format_string("unknown imports: %d", F.size(m("suspicious")))), suspicious,
         ),
         Rule(
-            "preserves_logic", "semantic", "warning",
-            (had == 0) | (kept / F.greatest(had, F.lit(1)) >= F.lit(MIN_LITERAL_RATIO)),
-            F.when(had == 0, "Sin strings para comparar").otherwise(
-                F.format_string("Strings preservados: %d/%d (%.0f%%)", kept, had, kept / F.greatest(had, F.lit(1)) * 100)
-            ),
-            F.lit(
-                "Muchos strings literales del original no aparecen en el migrado. "
-                "La IA puede haber cambiado la lógica de negocio."
-            ),
+            "preserves_logic", "semantic", "warning", (had == 0) | (kept / F.greatest(had, F.lit(1)) >= F.lit(MIN_LITERAL_RATIO)),
+            F.format_string("literals found again: %d of %d", kept, had),
+            F.format_string(f"%d percent, at least {100 * MIN_LITERAL_RATIO:.0f} expected", share),
         ),
         Rule(
-            "valid_rust_syntax", "syntactic", "error",
-            ~is_rust | (F.size(issues) == 0),
-            F.when(~is_rust, not_rust).when(F.size(issues) == 0, "Sintaxis Rust válida").otherwise(
-                F.concat(F.size(issues).cast("string"), F.lit(" problemas sintácticos"))
-            ),
-            F.array_join(issues, "\n"),
+            "valid_rust_syntax", "syntactic", "error", ~is_rust | (F.size(issues) == 0),
+            F.when(~is_rust, not_rust).otherwise(F.format_string("findings: %d", F.size(issues))), F.array_join(issues, "\n"),
         ),
     ]
 

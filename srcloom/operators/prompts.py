@@ -40,7 +40,7 @@ def build_prompts(requests: DataFrame, templates: dict[str, str] = TEMPLATES) ->
             "success": template.isNotNull(),
             "error": F.when(
                 template.isNull(),
-                F.concat(F.lit("Tipo de migración no soportado: "), kind, F.lit(f". Opciones: {known}")),
+                F.concat(F.lit("no template for "), kind, F.lit(f"; there are {known}")),
             ),
         }
     )
@@ -51,8 +51,8 @@ def with_hint(rewritten: DataFrame, prompt: str) -> DataFrame:
     done = F.filter("rewrite_log", lambda r: r["n_changes"] > 0)
     names = F.array_join(F.transform(done, lambda r: F.concat(r["rule"], F.lit(": "), r["n_changes"])), ", ")
     hint = F.concat(
-        F.lit("\n// PRE-PROCESADO: Las siguientes transformaciones ya fueron aplicadas determinísticamente:\n// "),
-        names, F.lit("\n// Completa la migración del siguiente código parcialmente convertido:\n\n"), F.col("rewritten"),
+        F.lit("\n// Rules that have changed this code, and how often:\n// "),
+        names, F.lit("\n// Convert what they left:\n\n"), F.col("rewritten"),
     )
     return rewritten.withColumn(prompt, F.when(F.size(done) > 0, hint).otherwise(F.col(prompt)))
 

@@ -254,6 +254,7 @@ COBOL_VERBS = [
 ]
 _ANY_VERB = rf"(?i)^{S}*(?:DISPLAY|MOVE|ADD|SUBTRACT|MULTIPLY|COMPUTE|STOP|PERFORM){S}"
 _ANY_CONTROL = rf"(?i)^{S}*(?:IF|ELSE|END-IF|PERFORM|EVALUATE|WHEN|END-EVALUATE)(?:{S}|\.|$)"
+# Conditions and their Rust operators.
 COBOL_CONDITIONS = [
     (rf"(?i){WB}NOT{S}+EQUAL{S}+TO{WE}", "!="),
     (rf"(?i){WB}GREATER{S}+THAN{WE}", ">"),
@@ -452,6 +453,7 @@ CPP_TYPES = TextRule(
 _COUT = rf"(?s)^({S}*)(?:std::)?cout{S}*<<{S}*(.+?){S}*;.*$"
 _PRINTF = rf'(?s)^({S}*)printf{S}*\({S}*"([^"]*)"(?:{S}*,{S}*(.+?))?{S}*\){S}*;.*$'
 _LINE_BREAKS = ("std::endl", "endl", '"\\n"', "'\\n'")
+# Format letters.
 PRINTF_SPECIFIERS = [
     ("%d", "{}"), ("%i", "{}"), ("%f", "{:.2}"), ("%lf", "{:.2}"), ("%s", "{}"), ("%c", "{}"), ("%ld", "{}"),
     ("%lu", "{}"), ("\\n", ""),
@@ -488,6 +490,7 @@ def _output_line(line: Column) -> Column:
 
 
 CPP_OUTPUT = LineRule("cpp_output_to_rust", _output_line)
+# Patterns and what replaces them.
 CPP_MEMORY = TextRule(
     "cpp_memory_to_rust",
     (
@@ -520,6 +523,7 @@ def _resolve_types() -> tuple[Step, ...]:
 
 
 _PTR = rf"{S}*\*{S}*"
+# Patterns and what replaces them.
 TRANSFORM_MEMORY = TextRule(
     "Memory Management → Ownership",
     (
@@ -538,6 +542,7 @@ TRANSFORM_MEMORY = TextRule(
         *_resolve_types(),
     ),
 )
+# Patterns and what replaces them.
 TRANSFORM_POINTERS = TextRule(
     "Raw Pointers → Safe References",
     (
@@ -552,6 +557,7 @@ TRANSFORM_POINTERS = TextRule(
         Step(f"{_DEFAULT}[^{_DEFAULT}]*{_DEFAULT}", "Default::default()", "", _DEFAULT),
     ),
 )
+# Patterns and what replaces them.
 TRANSFORM_STRINGS = TextRule(
     "std::string → String/&str",
     (
@@ -564,6 +570,7 @@ TRANSFORM_STRINGS = TextRule(
         Step(rf"std::to_string\(({W}+)\)", "$1.to_string()", ONCE, needs="std::to_string"),
     ),
 )
+# Patterns and what replaces them.
 TRANSFORM_LOOPS = TextRule(
     "Control Flow → Rust",
     _steps(
@@ -597,7 +604,7 @@ def _include_line(line: Column) -> Column:
     local = rf'^({S}*)#include{S}*"({W}+)\.h(?:pp)?"'
     using = rf"^({S}*)using{S}+namespace{S}+{W}+;.*$"
     header = F.regexp_extract(line, system, 2)
-    todo = F.concat(F.lit("// TODO: buscar equivalente Rust de <"), header, F.lit(">"))
+    todo = F.concat(F.lit("// TODO: Rust crate for <"), header, F.lit(">"))
     return (
         F.when(
             line.rlike(system),
@@ -607,7 +614,7 @@ def _include_line(line: Column) -> Column:
             ),
         )
         .when(line.rlike(local), F.regexp_replace(line, local, "$1mod $2;"))
-        .when(line.rlike(using), F.regexp_replace(line, using, "$1// (namespaces manejados por mod/use en Rust)"))
+        .when(line.rlike(using), F.regexp_replace(line, using, "$1// no namespaces; see mod and use"))
     )
 
 
@@ -650,6 +657,7 @@ def enum_values(files: DataFrame) -> DataFrame:
 
 # --- Java 8 to 17 -----------------------------------------------------------------------
 
+# Patterns and what replaces them.
 JAVA_COLLECTIONS_HARD = TextRule(
     "java_collections_modern",
     _steps(
@@ -658,6 +666,7 @@ JAVA_COLLECTIONS_HARD = TextRule(
         (r"Collections\.singletonList\(([^)]+)\)", "List.of($1)", "singletonList"), (r"Collections\.singleton\(([^)]+)\)", "Set.of($1)", "singleton"),
     ),
 )
+# Patterns and what replaces them.
 JAVA_COLLECTIONS = TextRule(
     "collection_factory",
     tuple(

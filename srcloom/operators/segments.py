@@ -211,9 +211,9 @@ def free_functions(analysed: DataFrame) -> DataFrame:
 
 def prompt_context(segments: DataFrame, context: Column | None = None) -> DataFrame:
     """The text that introduces a segment, with the project context if there is one."""
-    dependencies = F.when(F.size("dependencies") > 0, F.array_join("dependencies", ", ")).otherwise("ninguna")
+    dependencies = F.when(F.size("dependencies") > 0, F.array_join("dependencies", ", ")).otherwise("none")
     own = F.concat(
-        F.lit("// Segmento: "), F.col("name"), F.lit(" ("), F.col("kind"), F.lit(")\n// Dependencias: "),
+        F.lit("// Part: "), F.col("name"), F.lit(" ("), F.col("kind"), F.lit(")\n// Needs: "),
         dependencies, F.lit("\n\n"), F.col("code"),
     )
     if context is not None:
@@ -221,7 +221,7 @@ def prompt_context(segments: DataFrame, context: Column | None = None) -> DataFr
     return segments.withColumn("prompt_context", own)
 
 
-CONTEXT_TITLE = "// === CONTEXTO DEL PROYECTO ==="
+CONTEXT_TITLE = "// === The project so far ==="
 
 
 def context_digests(context: DataFrame, key: str) -> DataFrame:

@@ -47,7 +47,7 @@ _KNOWN = "[''" + "'', ''".join(P.TEMPLATES) + "'']"
 
 @query("prompts", f"""with {_TURNS}, templates(migration_type, template) as (values {_TEMPLATE_ROWS})
   select conv_id, turn, replace(template, '{{source_code}}', request) as prompt, template is not null as success,
-    case when template is null then concat('Tipo de migración no soportado: ', migration_type, '. Opciones: {_KNOWN}') end as error
+    case when template is null then concat('no template for ', migration_type, '; there are {_KNOWN}') end as error
   from turns left join templates using (migration_type)""")
 def prompts(spark, sf_dir):
     built = P.build_prompts(turns(spark, sf_dir).withColumnRenamed("request", "source_code"))
@@ -62,8 +62,8 @@ def migration_sides(spark, sf_dir):
 
 @query("hint_prompts", FILES + r""", java as (select path, content, len(regexp_extract_all(content, 'Arrays\.asList\(([^)]*)\)')) as n,
     regexp_replace(content, 'Arrays\.asList\(([^)]*)\)', 'List.of(\1)', 'g') as rewritten from files where language = 'java')
-  select path, case when n > 0 then concat(chr(10), '// PRE-PROCESADO: Las siguientes transformaciones ya fueron aplicadas determinísticamente:', chr(10), '// java_collections_modern: ', n, chr(10),
-    '// Completa la migración del siguiente código parcialmente convertido:', chr(10), chr(10), rewritten) else content end as prompt from java""")
+  select path, case when n > 0 then concat(chr(10), '// Rules that have changed this code, and how often:', chr(10), '// java_collections_modern: ', n, chr(10),
+    '// Convert what they left:', chr(10), chr(10), rewritten) else content end as prompt from java""")
 def hint_prompts(spark, sf_dir):
     java = source_files(spark, sf_dir).where("language = 'java'").withColumn("prompt", F.col("content"))
     return P.with_hint(RW.rewrite(java, [RW.JAVA_COLLECTIONS_HARD]), "prompt").select("path", "prompt")

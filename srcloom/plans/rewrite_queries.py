@@ -37,9 +37,9 @@ CPP_TRANSFORM = [
     ("Foo* f`pk` = new Foo(`q`, 2);", "let f`pk`: Box<Foo> = Box::new(`q`, 2);"),
     ("x`pk` = nullptr;", "x`pk` = None;"),
     ("#include <map>", "use std::collections::HashMap;"),
-    ("#include <part`pk`>", "// TODO: buscar equivalente Rust de <part`pk`>"),
+    ("#include <part`pk`>", "// TODO: Rust crate for <part`pk`>"),
     ('#include "part`pk`.hpp"', "mod part`pk`;"),
-    ("using namespace std;", "// (namespaces manejados por mod/use en Rust)"),
+    ("using namespace std;", "// no namespaces; see mod and use"),
 ]
 CPP_HARD = [
     ("unsigned long long v`pk` = `q`;", "u64 v`pk` = `q`;"),

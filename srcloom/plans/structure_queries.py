@@ -22,6 +22,7 @@ LINES = FILES + r""",
 cut as (select *, string_split(content, chr(10)) as ls from files),
 lines as (select path, stem, language, len(ls) as total_lines, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line from cut)"""
 
+# The patterns of declarations, as in the operators.
 _FN_CPP = r"^(?:static\s+|inline\s+|virtual\s+|extern\s+)*([\w:*&<>]+(?:\s*[*&])?)\s+([\w:]+)\s*\(([^)]*)\)\s*(?:const\s*)?(?:override\s*)?[{;]"
 _REC_CPP = r"^(?:typedef\s+)?(?:struct|class)\s+(\w+)\s*[{:]"
 _ENUM_CPP = r"^(?:typedef\s+)?enum\s+(\w+)\s*\{"
@@ -379,13 +380,13 @@ def most_complex_segment(spark, sf_dir):
 
 
 @query("segment_prompt_context", SEGMENTS + """select path, segment_id,
-  concat('// Segmento: ', name, ' (', kind, ')', chr(10), '// Dependencias: ninguna', chr(10), chr(10), code) as prompt_context from segments""")
+  concat('// Part: ', name, ' (', kind, ')', chr(10), '// Needs: none', chr(10), chr(10), code) as prompt_context from segments""")
 def segment_prompt_context(spark, sf_dir):
     return SG.prompt_context(corpus_segments(spark, sf_dir)).select("path", "segment_id", "prompt_context")
 
 
 @query("segments_with_context", SEGMENTS + _CONTEXT_SQL + r""", joined as (
-  select project, count(*) as context_files, sum(length(context) + 1) + 32 as context_chars,
+  select project, count(*) as context_files, sum(length(context) + 1) + length('// === The project so far ===') as context_chars,
     sum(('0x' || substr(md5(concat(path, chr(10), context)), 1, 12))::bigint)::varchar as context_digest from context group by project)
   select s.path, s.segment_id, j.project, context_files, context_chars, context_digest
   from segments s join files f using (path) join joined j on j.project = concat('d', f.o_orderkey % 100)""")

@@ -41,16 +41,17 @@ def test_pair_rule(checked, case):
 
 
 def test_rule_messages(checked):
-    assert checked[("crates", "no_hallucinated_imports")].message == "Imports posiblemente alucinados: ['magic', 'fake']"
-    assert checked[("residual", "valid_rust_syntax")].details == "Código C++ residual: cout (no es Rust)"
-    assert checked[("too long", "size_ratio")].message == "Ratio de tamaño: 200.00x (1 → 200 líneas)"
+    assert checked[("crates", "no_hallucinated_imports")].details == "[magic, fake]"
+    assert checked[("residual", "valid_rust_syntax")].details == "mark left: cout (no es Rust)"
+    assert checked[("too long", "size_ratio")].message == "lines: 1 before, 200 after"
+    assert checked[("too long", "size_ratio")].details == "200.00 times the lines, 0.3 to 4.0 expected"
 
 
 def test_a_rule_that_cannot_be_made_is_a_failed_warning(spark):
     pairs = spark.createDataFrame([("a", "x", "y", "cpp", "rust")], "pair_id string, source string, migrated string, source_language string, target_language string")
     rule = R.Rule("odd", "semantic", "error", F.try_divide(F.lit(1), F.lit(0)) > 0, F.lit("m"))
     row = R.rule_results(R.check_pairs(pairs, [rule]), "pair_id").where("rule_name = 'odd'").first()
-    assert (row.passed, row.severity, row.message) == (False, "warning", "Error ejecutando regla")
+    assert (row.passed, row.severity, row.message) == (False, "warning", "rule could not be computed")
 
 
 REWRITES = [
