@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -195,6 +196,59 @@ def test_disguises_are_found_at_their_source(text, kind, part, value):
         assert added == [(kind, part, value)]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("ann at mail dot pl", "ann@mail.pl"), ("so ann at mail dot se and more", "ann@mail.se"), ("ann at firm dot dev", "ann@firm.dev"), ("ann at mail dot ru", "ann@mail.ru"),
+     ("ann at mail.pl", "ann@mail.pl"), ("please write to ann at firm.eu soon", "ann@firm.eu"), ("j.doe at firm.com is", "j.doe@firm.com"),
+     ("x a dot b at c dot d dot e dot f dot g dot h dot com", "a.b@c.d.e.f.g.h.com"), ("ann at mail [dot] zone", "ann@mail.zone"), ("j at firm dot in", "j@firm.in"),
+     ("ann       at       mail\t\t\t\t\t\tdot com", "ann@mail.com")],
+)
+def test_spelled_addresses_of_any_ending(text, value):
+    [(kind, s, e, added, found)] = P.find_spans(text)
+    assert (P.KINDS[kind], added, found) == ("email", True, value)
+    assert text[s] == value[0] and text[:e].endswith(value.rsplit(".", 1)[1])
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["we look at google.com today", "stay at home.It was", "look at the dot com boom", "polka at polka dot dress.", "at some point in time", "j at firm dot in the end",
+     "seen at a.b dot", "read at firm.com/page"],
+)
+def test_places_are_no_addresses(text):
+    assert P.find_spans(text) == []
+
+
+def test_places_of_the_plain_form_are_those_of_the_source():
+    """Against a walk that keeps the span of every character."""
+    rng = np.random.default_rng(5)
+    parts = ["ann", " at ", "mail", " dot ", "com", "аб", "​", "①⑩", " one ", "plus 4", "[at]", "x", " ", "．", "９", "\n"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts, 25))
+        plain = P.PlainForm(text)
+        spans, changed, at, done = [], [], 0, 0
+        for start, end, low, high in zip(plain.starts, plain.ends, plain.lows, plain.highs, strict=True):
+            assert text[at:low] == plain.text[done:start]
+            spans += [(i, i + 1) for i in range(at, low)] + [(low, high)] * (end - start)
+            changed += [False] * (low - at) + [True] * (end - start)
+            at, done = high, end
+        spans += [(i, i + 1) for i in range(at, len(text))]
+        changed += [False] * (len(text) - at)
+        assert text[at:] == plain.text[done:] and [plain.source(i) for i in range(len(plain.text))] == spans
+        for start, end in rng.integers(0, len(plain.text) + 1, (30, 2)):
+            if start < end:
+                gap = spans[end - 1][1] - spans[start][0] > end - start
+                assert plain.changed(start, end) == (any(changed[start:end]) or gap)
+
+
+def test_pii_of_a_long_text_stays_small():
+    text = "plain words and one аn odd at place dot com. " * 45_000
+    tracemalloc.start()
+    found = P.find_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 45_000 and peak < 15 * len(text)
+
+
 @pytest.mark.parametrize("text", ["look at the dot here", "one two three", "meet at noon", "дом at home dot", "un dos tres vier fünf 12", "point point", ""])
 def test_clean_texts_stay_clean(text):
     assert P.find_spans(text) == []
