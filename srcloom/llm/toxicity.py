@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols: insult, threat, target, negation, report, or other. Four small transducers read a clause
-at the same time, and their composition (one product state) weighs what it accepts:
-
-* insult gives the weight of the symbol, threat does so once a target stands within a few words on either side;
-* target raises the weight of what stands within a few words of a person or a form of address;
-* negation lowers the weight of what follows it within a few words;
-* reported speech lowers the weight of the rest of its clause.
-
-Clauses end at . ! ? ; : and line ends. A document's features are the best clause, the sum of its clauses and the
-number of clauses with a match; a logistic function of them is the score. The insult symbols and their weights are
-learned from labelled rows, as words and as word beginnings, so that forms not seen before are matched too.
+Words are read as symbols: insult, threat, target, negation, report, or other. Small transducers read a clause and give
+a factor for each word; a word's weight is the product of the factors of all of them:
+
+* insult and threat pass their symbols' weights on (of an insult the learned one) and stop all other words;
+* target raises what stands within a few words after a person or a form of address; threats without a target count nothing;
+* negation lowers what follows it within a few words;
+* reported speech lowers the rest of its clause.
+
+``compose`` builds the product machine of any two of them; the grammar is two products. The target may also follow, so
+one of them reads each clause from the end, and the better of the two readings is the word's. Clauses end at . ! ? ; :
+and line ends. A document's features are the best clause, the sum of its clauses and the number of clauses with a match;
+a logistic function of them is the score. The insult symbols and their weights are learned from labelled rows, as words
+and as word beginnings, so that forms not seen before are matched too.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +47,93 @@ _WORD_TABLE = bytes(
 _PLAIN_TABLE = bytes(32 if c in b".!?;:\n" else t for c, t in enumerate(_WORD_TABLE))
 
 
+# Symbols of the grammar.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+SYMBOLS = 6
+
+
 def _letters(words: str) -> list[bytes]:
     return [w.encode() for w in words.split()]
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted transducer that starts in state 0: ``step[state][symbol]`` is the next state and
+    ``factor[state][symbol]`` what the word is multiplied with."""
+
+    step: list[list[int]]
+    factor: list[list[float]]
+
+    def run(self, symbols: Sequence[int]) -> list[float]:
+        state, out = 0, []
+        for x in symbols:
+            out.append(self.factor[state][x])
+            state = self.step[state][x]
+        return out
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The product machine, of the states that can be reached: it walks both and multiplies their factors."""
+    states, step, factor = {(0, 0): 0}, [], []
+    order = [(0, 0)]
+    for i, j in order:
+        nexts = []
+        for x in range(SYMBOLS):
+            pair = (a.step[i][x], b.step[j][x])
+            if pair not in states:
+                states[pair] = len(order)
+                order.append(pair)
+            nexts.append(states[pair])
+        step.append(nexts)
+        factor.append([a.factor[i][x] * b.factor[j][x] for x in range(SYMBOLS)])
+    return Transducer(step, factor)
+
+
+def within(symbol: int, reach: int, near: list[float], far: list[float]) -> Transducer:
+    """Counts words since the symbol: up to ``reach`` words after it factors are ``near``, else ``far``."""
+    states = range(reach + 1)  # state 0: out of reach; state i: i words of the reach are left
+    return Transducer(
+        [[reach if x == symbol else max(i - 1, 0) for x in range(SYMBOLS)] for i in states], [near if i else far for i in states]
+    )
+
+
+def weigher() -> Transducer:
+    """Insults and threats: one state, which lets the two symbols pass and no other."""
+    return Transducer([[0] * SYMBOLS], [[1.0 if x in (INSULT, THREAT) else 0.0 for x in range(SYMBOLS)]])
+
+
+def targeted() -> Transducer:
+    """What is near a target gains; a threat that is not counts nothing."""
+    far = [1.0] * SYMBOLS
+    far[THREAT] = 0.0
+    return within(TARGET, TARGET_REACH, [TARGET_GAIN] * SYMBOLS, far)
+
+
+def negated() -> Transducer:
+    return within(NEGATION, NEGATION_REACH, [NEGATION_LOSS] * SYMBOLS, [1.0] * SYMBOLS)
+
+
+def reported() -> Transducer:
+    """Two states: before and after a verb of saying."""
+    return Transducer([[int(x == REPORT) for x in range(SYMBOLS)], [1] * SYMBOLS], [[1.0] * SYMBOLS, [REPORT_LOSS] * SYMBOLS])
+
+
+#: What is read from left to right without targets, the targets before a word and, read from the end, those after it.
+FORWARD = compose(compose(weigher(), negated()), reported())
+BEFORE = compose(FORWARD, targeted())
+AFTER = targeted()
+
+
 class Grammar:
-    """The composed transducer. ``insults`` maps words and, with a final '*', word beginnings to weights."""
+    """The composed machines and the words of each symbol. ``insults`` maps words and, with a final '*', word beginnings
+    to weights; a word that is an insult and of another class is an insult."""
 
     def __init__(self, insults: dict[bytes, float]):
         self.words = {k: v for k, v in insults.items() if not k.endswith(b"*")}
         self.stems = {k[:-1]: v for k, v in insults.items() if k.endswith(b"*")}
-        self.threats, self.targets = frozenset(_letters(THREATS)), frozenset(_letters(TARGETS))
-        self.negations, self.reports = frozenset(_letters(NEGATIONS)), frozenset(_letters(REPORTS))
+        classes = ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS))
+        self.symbols = {w: x for x, words in classes for w in _letters(words)}
+        self.threats = frozenset(_letters(THREATS))
 
     def insult(self, word: bytes) -> float:
         weight = self.words.get(word, 0.0)
@@ -66,54 +144,24 @@ class Grammar:
         return weight
 
     def clause(self, words: list[bytes], weights: dict[bytes, float]) -> float:
-        """Runs the product of the four transducers over a clause; state: words since target and negation, reported,
-        the insult and the threats that a target may still follow."""
-        since_target = since_negation = 99
-        reported, total, open_weight, open_for = False, 0.0, 0.0, 99
-        pending: list[tuple[int, float]] = []  # (words since, weight) of threats without a target so far
-        for word in words:
-            since_target, since_negation, open_for = since_target + 1, since_negation + 1, open_for + 1
-            if pending:
-                pending = [(n + 1, w) for n, w in pending if n < TARGET_REACH]
-            if word in self.targets:
-                since_target = 0
-                if open_for <= TARGET_REACH:  # the target follows the match
-                    total += open_weight * (TARGET_GAIN - 1)
-                    open_weight = 0.0
-                total += sum(w for _, w in pending) * TARGET_GAIN
-                pending = []
-            elif word in self.negations:
-                since_negation = 0
-            elif word in self.reports:
-                reported = True
-            weight = weights.get(word, 0.0)
-            threat = not weight and word in self.threats
-            if threat:
-                weight = THREAT_WEIGHT
-            if weight:
-                if since_negation <= NEGATION_REACH:
-                    weight *= NEGATION_LOSS
-                if reported:
-                    weight *= REPORT_LOSS
-                if threat and since_target > TARGET_REACH:  # nothing yet; a target that follows completes it
-                    pending.append((0, weight))
-                    continue
-                if since_target <= TARGET_REACH:
-                    total += weight * TARGET_GAIN
-                    open_weight = 0.0
-                else:
-                    total += weight
-                    open_weight = weight
-                open_for = 0
-        return total
+        """The sum of the weights of a clause's words: each by the better of its two readings."""
+        symbols = [INSULT if w in weights else self.symbols.get(w, OTHER) for w in words]
+        if INSULT not in symbols and THREAT not in symbols:
+            return 0.0
+        plain, before, after = FORWARD.run(symbols), BEFORE.run(symbols), AFTER.run(symbols[::-1])[::-1]
+        return sum(
+            (weights[w] if x == INSULT else THREAT_WEIGHT) * max(b, p * a)
+            for w, x, p, b, a in zip(words, symbols, plain, before, after, strict=True)
+            if p
+        )
 
     def features(self, text: bytes | None) -> tuple[float, float, int]:
         """(best clause, sum of clauses, clauses with a match) of a whole text; null and empty texts have none."""
         if not text:
             return 0.0, 0.0, 0
-        found = {w: s for w in set(text.translate(_PLAIN_TABLE).split()) if (s := self.insult(w))}
-        threats = any(w in text.lower() for w in self.threats) if not found else True
-        if not found and not threats:
+        seen = set(text.translate(_PLAIN_TABLE).split())
+        found = {w: s for w in seen if (s := self.insult(w))}
+        if not found and self.threats.isdisjoint(seen):
             return 0.0, 0.0, 0
         scores = []
         for clause in _CLAUSES.split(text.translate(_WORD_TABLE)):

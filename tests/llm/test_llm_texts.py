@@ -68,6 +68,46 @@ def test_threats_reach_targets_on_both_sides():
     assert score("an idiot may kill you") == score("an idiot may see you") + score("kill you")
 
 
+def test_products_do_what_their_parts_do():
+    rng = np.random.default_rng(1)
+    parts = [T.weigher(), T.targeted(), T.negated(), T.reported()]
+    whole = T.compose(T.compose(parts[0], parts[1]), T.compose(parts[2], parts[3]))
+    assert len(whole.step) == (T.TARGET_REACH + 1) * (T.NEGATION_REACH + 1) * 2 - sum(
+        1 for i in range(1, T.TARGET_REACH + 1) for j in range(1, T.NEGATION_REACH + 1) if T.TARGET_REACH - i == T.NEGATION_REACH - j) * 2
+    for _ in range(200):
+        symbols = rng.integers(0, T.SYMBOLS, 30).tolist()
+        alone = np.prod([p.run(symbols) for p in parts], axis=0)
+        assert whole.run(symbols) == pytest.approx(alone) and T.BEFORE.run(symbols) == pytest.approx(alone)
+
+
+def test_grammar_against_distances():
+    """A clause's weight from the places of its words alone."""
+    rng = np.random.default_rng(4)
+    g = T.Grammar({b"idiot": 4.0})
+    kinds = ["word", "idiot", "kill", "you", "not", "said"]
+    for _ in range(300):
+        words = [kinds[i] for i in rng.choice(6, 20, p=[0.5, 0.1, 0.1, 0.1, 0.1, 0.1])]
+        places = lambda w: [i for i, x in enumerate(words) if x == w]  # noqa: E731, B023
+        want = 0.0
+        for i, w in enumerate(words):
+            if w in ("idiot", "kill"):
+                near = any(abs(i - j) <= T.TARGET_REACH for j in places("you"))
+                weight = (4.0 if w == "idiot" else T.THREAT_WEIGHT * near) * (T.TARGET_GAIN if near else 1)
+                weight *= T.NEGATION_LOSS if any(0 < i - j <= T.NEGATION_REACH for j in places("not")) else 1
+                want += weight * (T.REPORT_LOSS if any(j < i for j in places("said")) else 1)
+        assert g.features(" ".join(words).encode())[1] == pytest.approx(want)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.1"  # smaller tables hold too few labelled rows
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = QUERIES["op1_toxicity"](spark, sf_dir).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    bad, good = ([r for r in rows if r.toxic == y] for y in (1, 0))
+    wins = np.mean([(a.score > b.score) + 0.5 * (a.score == b.score) for a in bad for b in good])
+    assert len(bad) >= 50 and wins > 0.93
+    assert np.mean([r.predicted for r in bad]) > 0.85 and np.mean([r.predicted for r in good]) < 0.02
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(300)]
