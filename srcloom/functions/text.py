@@ -162,27 +162,6 @@ MAX_COMPLEXITY = 10
 # Lines given to a symbol whose block never closes.
 OPEN_BLOCK_LINES = 20
 
-# Braces are relabelled by height, innermost first, a letter for each height.
-_OPENS = "ABCDEFGHIJKL"
-_CLOSES = "abcdefghijkl"
-
-
-def _label_braces(text: Column) -> Column:
-    def from_height(first: int) -> Callable[[Column], Column]:
-        def label(braces: Column) -> Column:
-            for h in range(first, min(first + 3, len(_OPENS))):
-                braces = F.regexp_replace(braces, r"\{([^{}]*+)\}", f"{_OPENS[h]}$1{_CLOSES[h]}")
-            if first + 3 >= len(_OPENS):
-                return braces
-            # Deeper code is rare: further passes only where braces are left.
-            deeper = from_height(first + 3)
-            return let(braces, lambda b: F.when(b.contains("}"), deeper(b)).otherwise(b))
-
-        return label
-
-    return from_height(0)(F.regexp_replace(text, "[^{}\n]++", ""))
-
-
 _BRACE = "struct<line:int,ch:string>"
 
 
@@ -195,50 +174,62 @@ def _brace_list(braces: Column) -> Column:
     return F.flatten(F.transform(F.split(braces, "\n", -1), of_line))
 
 
-def _closing_lines(braces: Column) -> Column:
-    """For each brace of the list the line of its partner; null unless it opens a labelled pair.
+def _is_open(brace: Column) -> Column:
+    return brace["ch"] == "{"
 
-    Pairs of one letter do not nest, so its k-th opening and k-th closing brace belong together."""
-    def matched(rows: Column) -> Column:
-        placed = F.transform(rows, lambda b, j: F.struct(j.alias("at"), b["line"].alias("line"), b["ch"].alias("ch")))
-        pair = "array<struct<at:int,close:int>>"
 
-        def of_letter(all_: Column, opens: str, closes: str) -> Column:
-            pick = lambda ch: F.filter(all_, lambda b: b["ch"] == ch)
-            both = F.zip_with(pick(opens), pick(closes), lambda o, c: F.struct(o["at"].alias("at"), c["line"].alias("close")))
-            return F.when(braces.contains(opens), both.cast(pair)).otherwise(F.array().cast(pair))
+def _depths(rows: Column) -> Column:
+    """The depth behind each brace of the list: a prefix sum that doubles its reach in every pass."""
+    steps = F.transform(rows, lambda b: F.when(_is_open(b), 1).otherwise(-1))
+    reaches = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(rows) + F.lit(1))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(reaches, steps, lambda acc, reach: F.transform(acc, lambda d, i: d + F.coalesce(F.get(acc, i - reach), F.lit(0))))
 
-        def join(all_: Column) -> Column:
-            others = F.filter(all_, lambda b: ~b["ch"].isin(*_OPENS))
-            rest = F.transform(others, lambda b: F.struct(b["at"].alias("at"), F.lit(None).cast("int").alias("close"))).cast(pair)
-            return F.transform(F.array_sort(F.concat(rest, *[of_letter(all_, o, c) for o, c in zip(_OPENS, _CLOSES, strict=True)])), lambda e: e["close"])
 
-        return let(placed, join)
+def _closing_lines(rows: Column) -> Column:
+    """For each brace of the list the line where a block that begins there ends, for any depth and braces without partners.
 
-    return let(_brace_list(braces), matched)
+    A block is over at the next closing brace that comes back to the depth before its first brace. Braces that ask for
+    a depth and closing braces that reach one are sorted by (depth, place); each asks the next closing one of its depth."""
+    def answered(depths: Column) -> Column:
+        event = lambda depth, i, closes, line: F.struct(depth.alias("depth"), i.alias("at"), closes.alias("closes"), line.alias("line"))
+        asks = F.transform(rows, lambda b, i: event(F.get(depths, i) + F.when(_is_open(b), -1).otherwise(1), i, F.lit(False), b["line"]))
+        ends = F.transform(rows, lambda b, i: event(F.get(depths, i), i, ~_is_open(b), b["line"]))
+        events = F.sort_array(F.concat(asks, F.filter(ends, lambda e: e["closes"])))
 
+        def joined(all_: Column) -> Column:
+            runs = F.split(F.array_join(F.transform(all_, lambda e: F.when(e["closes"], "|").otherwise("a")), ""), r"\|", -1)
+            nth = F.flatten(F.transform(runs, lambda run, k: F.array_repeat(k, F.length(run))))
 
-def _first_braces(braces: Column) -> Column:
-    """For each line the place of the first brace at or below it; no entry below the last brace."""
-    def spread(rows: Column) -> Column:
-        above = lambda j: F.coalesce(F.get(rows, j - 1)["line"], F.lit(0))
-        return F.flatten(F.transform(rows, lambda b, j: F.array_repeat(j, b["line"] - above(j))))
+            def of_ends(closing: Column) -> Column:
+                answers = F.zip_with(F.filter(all_, lambda e: ~e["closes"]), nth, lambda ask, k: F.struct(
+                    ask["at"].alias("at"), F.when(F.get(closing, k)["depth"] == ask["depth"], F.get(closing, k)["line"]).alias("close")
+                ))
+                return F.transform(F.sort_array(answers), lambda e: e["close"])
+
+            return let(F.filter(all_, lambda e: e["closes"]), of_ends)
+
+        return let(events, joined)
+
+    return let(_depths(rows), answered)
 
-    return let(_brace_list(braces), spread)
+
+def _first_braces(rows: Column) -> Column:
+    """For each line the place of the first brace at or below it; no entry below the last brace."""
+    above = lambda j: F.coalesce(F.get(rows, j - 1)["line"], F.lit(0))
+    return F.flatten(F.transform(rows, lambda b, j: F.array_repeat(j, b["line"] - above(j))))
 
 
-def line_index_parts(text: Column, labelled: Column | None = None) -> dict[str, Column]:
-    """What block ends and complexity need of a file, computed once in time linear in the text.
+def line_index_parts(text: Column, braces: Column | None = None) -> dict[str, Column]:
+    """What block ends and complexity need of a file, computed once: linear in the text, n log n in its braces.
 
-    * ``braces``: line ends and braces only, each pair with the letter of its
-      height; braces without a partner, or deeper than the letters, stay as they are;
+    * ``braces``: all braces with their lines;
     * ``first_brace`` and ``closes``: see the functions above;
     * ``branches``: the number of branch words of each line;
     * ``n_lines``: newlines plus one.
 
-    ``labelled`` is the column that holds ``braces`` already, if there is one.
+    ``braces`` is the column that holds them already, if there is one.
     """
-    braces = _label_braces(text) if labelled is None else labelled
+    braces = _brace_list(F.regexp_replace(text, "[^{}\n]++", "")) if braces is None else braces
     words = F.split(F.array_join(find_all(text, _BRANCHES_AND_LINES), ""), "\n", -1)
     return {
         "braces": braces,
@@ -255,39 +246,12 @@ def line_index(text: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in line_index_parts(text).items()])
 
 
-def _fold_block_end(tail: Column) -> Column:
-    """Lines down to the end of the first block, brace by brace; null if it stays open."""
-    raw = F.translate(tail, _OPENS + _CLOSES, "{" * len(_OPENS) + "}" * len(_CLOSES))
-    start = F.struct(
-        F.lit(0).alias("line"), F.lit(0).alias("depth"), F.lit(False).alias("opened"),
-        F.lit(None).cast("int").alias("end"),
-    )
-
-    def step(acc: Column, ch: Column) -> Column:
-        depth = acc["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        ends = acc["end"].isNull() & (ch == "}") & acc["opened"] & (depth == 0)
-        return F.struct(
-            (acc["line"] + (ch == "\n").cast("int")).alias("line"),
-            depth.alias("depth"),
-            (acc["opened"] | (ch == "{")).alias("opened"),
-            F.when(ends, acc["line"]).otherwise(acc["end"]).alias("end"),
-        )
-
-    return F.when(raw.contains("{"), F.aggregate(F.split(raw, ""), start, step, lambda a: a["end"]))
-
-
 def block_end(idx: Column, start_line: Column) -> Column:
     """Line of the brace that closes the first block at or below ``start_line``.
 
-    A look-up where that block opens with a labelled brace; unbalanced text is folded from there."""
-    first = F.get(idx["first_brace"], start_line - 1)
-
-    def end_line(close: Column) -> Column:
-        tail = parts(idx["braces"], "\n", start_line - idx["n_lines"] - 1)
-        end = F.when(first.isNull(), F.lit(None).cast("int")).when(close.isNotNull(), close).otherwise(start_line + _fold_block_end(tail))
-        return F.coalesce(end, F.least(start_line + (OPEN_BLOCK_LINES - 1), idx["n_lines"]))
-
-    return let(F.get(idx["closes"], first), end_line)
+    A block that stays open gets ``OPEN_BLOCK_LINES``. The first brace may be a closing one whose block began above."""
+    end = F.get(idx["closes"], F.get(idx["first_brace"], start_line - 1))
+    return F.coalesce(end, F.least(start_line + (OPEN_BLOCK_LINES - 1), idx["n_lines"]))
 
 
 def complexity(idx: Column, start_line: Column, end_line: Column, most: int = MAX_COMPLEXITY) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -49,6 +50,26 @@ def test_block_end_and_complexity_match_twin(spark):
         assert r.score == complexity_of(lines, r.start, r.end), (texts[r.id], r.start, r.end)
 
 
+def test_blocks_of_a_large_open_and_deep_file(spark):
+    """Time grows with the file: an open first block, 40 levels and closing braces without partners."""
+    deep = "{\n" * 40 + "x\n" + "}\n" * 40
+
+    def seconds(n):
+        text = "{\n" + (deep + "fn f() { y }\n}\n") * n
+        df = spark.createDataFrame([(text,)], "content string").withColumn("idx", T.line_index(F.col("content")))
+        start = time.time()
+        starts = (1, 2, 41, 60, 82, 83)
+        got = df.select(*[T.block_end(F.col("idx"), F.lit(s)) for s in starts]).first()
+        spent = time.time() - start
+        lines = text.split("\n")
+        assert list(got) == [block_end_of(lines, s) for s in starts]
+        return spent
+
+    seconds(5)
+    small, large = seconds(600), seconds(6000)  # 0.1 and 1.1 MB
+    assert large < 30 * max(small, 0.5), (small, large)
+
+
 def test_match_table_matches_twin(spark):
     rng = random.Random(8)
     texts = [random_text(rng, rng.randint(1, 20), ["ab", "a", "b", "\n", " ", "é", "\u0001"]) for _ in range(200)]
