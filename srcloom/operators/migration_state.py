@@ -228,6 +228,30 @@ def upsert_segments(updates: DataFrame, order: tuple[str, ...] = ("ts", "event_i
     )
 
 
+def segment_changes(updates: DataFrame, counts: dict[str, Column], order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """One row per segment that can be merged with others of the same segment, in any order: of each known field the last
+    value that is not null with its time, and the counts (aggregates that add up, by name)."""
+    when = F.struct(*order)
+    fields = [f for f in SEGMENT_FIELDS if f in updates.columns and f not in counts]
+    return updates.groupBy("project", "segment_id").agg(
+        *[F.max(F.when(F.col(f).isNotNull(), F.struct(when.alias("seen"), F.col(f).alias("value")))).alias(f) for f in fields],
+        *[c.cast("bigint").alias(n) for n, c in counts.items()],
+    )
+
+
+def merge_changes(changes: DataFrame) -> DataFrame:
+    """Later values win, counts add up."""
+    others = [f for f in changes.schema if f.name not in ("project", "segment_id")]
+    return changes.groupBy("project", "segment_id").agg(
+        *[(F.max(f.name) if f.dataType.typeName() == "struct" else F.sum(f.name)).alias(f.name) for f in others]
+    )
+
+
+def settled_segments(merged: DataFrame) -> DataFrame:
+    """The values without their times."""
+    return merged.select(*[F.col(f"{f.name}.value").alias(f.name) if f.dataType.typeName() == "struct" else F.col(f.name) for f in merged.schema])
+
+
 def retryable(segments: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     return segments.where(F.col("state").isin("pending", "failed") & (F.col("attempts") < max_attempts))
 

@@ -1,6 +1,8 @@
 """All named queries."""
 
 from srcloom.plans import (  # noqa: F401
+    copybook_queries,
+    history_queries,
     job_queries,
     pair_queries,
     prompt_queries,

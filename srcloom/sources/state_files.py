@@ -6,10 +6,12 @@ tasks walk the folders themselves; others by Spark's own reader.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from srcloom.operators.ordered import settle
 from srcloom.sources.file_tree import read_tree
 
 # File names of the two layouts.
@@ -82,10 +84,35 @@ def latest_snapshot(plain: DataFrame, supervised: DataFrame) -> DataFrame:
     return rows.agg(F.max_by("path", F.struct("rank", "mtime", "path")).alias("path"))
 
 
-def write_state(projects: DataFrame, path: str) -> None:
-    """One JSON row per project."""
-    projects.write.mode("overwrite").json(path)
+#: Folders of a state table; a project is in one of them.
+BUCKETS = 64
+
+
+def write_state(projects: DataFrame, path: str, schema: str = PLAIN, buckets: int = BUCKETS) -> None:
+    """One JSON row per project, in folders by a hash of its name; ``buckets`` stays the same for the life of a table.
+
+    Projects given replace their rows, all others stay: only the folders that a given project falls in are read and
+    written, in one dynamic overwrite. Of several rows of a project the latest ``updated_at`` counts, ties by all values."""
+    spark = projects.sparkSession
+    home = F.pmod(F.xxhash64("project_name"), F.lit(buckets)).cast("int")
+    newest = F.struct(*[c for c in ("updated_at",) if c in projects.columns], F.to_json(F.struct(*projects.columns)))
+    given = projects.groupBy("project_name").agg(F.max_by(F.struct(*projects.columns), newest).alias("row")).select("row.*")
+    given = settle(given.withColumn("bucket", home))
+    touched = [r.bucket for r in given.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    try:
+        old = spark.read.schema(schema).json(path).where(F.col("bucket").isin(touched))
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+            raise
+        rows = given
+    else:
+        named = given.select(F.col("project_name").alias("given_name"))
+        others = old.join(named, F.col("project_name").eqNullSafe(F.col("given_name")), "left_anti")
+        rows = given.unionByName(others, allowMissingColumns=True)
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
 
 
 def read_state_table(spark: SparkSession, path: str, schema: str = PLAIN) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(path).drop("bucket")

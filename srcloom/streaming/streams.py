@@ -101,24 +101,6 @@ def read_requests(spark: SparkSession, folder: str, schema: str, files_per_batch
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def _changes(updates: DataFrame, counts: dict[str, Column]) -> DataFrame:
-    """One row per segment: of each known field the last value that is not null with its time, and the counts."""
-    when = F.struct(*_ORDER)
-    fields = [f for f in M.SEGMENT_FIELDS if f in updates.columns and f not in counts]
-    return updates.groupBy("project", "segment_id").agg(
-        *[F.max(F.when(F.col(f).isNotNull(), F.struct(when.alias("seen"), F.col(f).alias("value")))).alias(f) for f in fields],
-        *[c.cast("bigint").alias(n) for n, c in counts.items()],
-    )
-
-
-def _merged(parts: DataFrame) -> DataFrame:
-    """Later values win, counts add up."""
-    others = [f for f in parts.schema if f.name not in ("project", "segment_id")]
-    return parts.groupBy("project", "segment_id").agg(
-        *[(F.max(f.name) if f.dataType.typeName() == "struct" else F.sum(f.name)).alias(f.name) for f in others]
-    )
-
-
 def write_progress(updates: DataFrame, target: str, checkpoint: str, counts: dict[str, Column] | None = None, most: int = PARTS) -> StreamingQuery:
     """Live progress: every batch adds the changed segments to a table below ``target``.
 
@@ -131,7 +113,7 @@ def write_progress(updates: DataFrame, target: str, checkpoint: str, counts: dic
         before = newest(spark, target)
         if batch_id > before.batch_id:
             entry = Commit(seq=before.seq + 1, batch_id=batch_id)
-            add_part(_changes(rows, counts or {}), target, "segments", entry, before, _merged, most)
+            add_part(M.segment_changes(rows, counts or {}), target, "segments", entry, before, M.merge_changes, most)
             commit(spark, target, entry, before)
 
     return updates.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -140,9 +122,7 @@ def write_progress(updates: DataFrame, target: str, checkpoint: str, counts: dic
 def read_segments(spark: SparkSession, target: str) -> DataFrame:
     """One row per segment: its fields and counts as of the last commit."""
     parts = newest(spark, target).parts
-    rows = _merged(spark.read.parquet(*[f"{target}/{p}" for p in parts]))
-    kinds = {f.name: f.dataType.typeName() for f in rows.schema}
-    return rows.select(*[F.col(f"{c}.value").alias(c) if kinds[c] == "struct" else F.col(c) for c in rows.columns])
+    return M.settled_segments(M.merge_changes(spark.read.parquet(*[f"{target}/{p}" for p in parts])))
 
 
 def read_progress(spark: SparkSession, target: str, **totals: Column) -> DataFrame:

@@ -18,6 +18,7 @@ SOME = [
     "rule_results", "rule_violations", "payroll", "stock_after_sales", "event_labels", "transition_check", "state_fold",
     "segment_state", "latest_events", "assembled_files", "rewrite_cpp_transform", "rewrite_cpp_hard", "rewrite_cobol",
     "rewrite_java", "construct_census", "prompts", "clean_responses", "folder_totals", "fixed_width_records",
+    "state_at", "state_table", "copybook_tree", "copybook_records",
 ]
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("FULL_CHECK") else SOME

@@ -76,7 +76,7 @@ def test_stream_tables_stay_small(spark, tmp_path):
         before = TB.newest(spark, target)
         rows = spark.createDataFrame([(1, f"s{i % 3}", None, i, "pending", i), (2, "s", None, i, None, None)], schema).withColumn("ts", F.timestamp_seconds(F.lit(i)))
         entry = TB.Commit(seq=before.seq + 1, batch_id=i)
-        TB.add_part(ST._changes(rows.coalesce(1), {"n": F.count("*")}), target, "segments", entry, before, ST._merged, 4)
+        TB.add_part(M.segment_changes(rows.coalesce(1), {"n": F.count("*")}), target, "segments", entry, before, M.merge_changes, 4)
         TB.commit(spark, target, entry, before)
         assert len(list((tmp_path / "out" / "segments").iterdir())) <= 9 and len(list((tmp_path / "out" / "ledger").iterdir())) <= 3
     got = {(r.project, r.segment_id): (r.state, r.attempts, r.n) for r in ST.read_segments(spark, target).collect()}
