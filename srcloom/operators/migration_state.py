@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from srcloom.functions import formats as FM
 from srcloom.functions import text as T
 from srcloom.functions.languages import TARGET_EXTENSIONS
-from srcloom.operators.ordered import LEAST, cut_hot_keys, previous_value
+from srcloom.operators.ordered import LEAST, cut_hot_keys, previous_value, settle
 from srcloom.operators.substrings import contained
 
 # The states in order, and where each may go.
@@ -322,19 +322,20 @@ def compile_cascade(segments: DataFrame, compiled: DataFrame, target: str, error
 def compile_cascade_by_stem(segments: DataFrame, compiled: DataFrame, error_chars: int = 100) -> DataFrame:
     """The same where a compiled file counts for every source whose stem is any part of its name.
 
-    Of several such files the last one by name counts; segments of sources without any keep what they have."""
+    Of several such files the last one by name counts; segments of sources without any keep what they have. The segments
+    are written once: their stems are read several times, and the plan behind them must not stand in every reader."""
     had = lambda c, kind: F.col(c) if c in segments.columns else F.lit(None).cast(kind)
     errors = F.col("errors") if "errors" in compiled.columns else F.lit("")
     files = compiled.select(
         T.basename(F.col("out_file")).alias("text"), F.col("success").alias("ok"), F.left(F.coalesce(errors, F.lit("")), F.lit(error_chars)).alias("compile_errors")
     )
     results = files.groupBy("text").agg(F.max_by(F.struct("ok", "compile_errors"), F.struct("ok", "compile_errors")).alias("result"))
-    named = segments.withColumn("_stem", T.stem(F.col("path")))
+    named = settle(segments.withColumn("_stem", T.stem(F.col("path"))))
     # the last file of each stem is a maximum, so a stem with very many files is partial aggregates
     last = contained(named, files, "_stem").groupBy(F.col("name").alias("_stem")).agg(F.max("text").alias("text"))
-    found = last.join(results, "text").select("_stem", "result")
+    found = last.join(results.hint("merge"), "text").select("_stem", "result")
     passed, failed = F.col("result.ok"), ~F.col("result.ok")
-    return named.join(found, "_stem", "left").withColumns({
+    return named.join(found.hint("merge"), "_stem", "left").withColumns({
         "state": F.when(passed, "validated").when(failed, "failed").otherwise(F.col("state")),
         "validation_passed": F.when(passed, True).otherwise(had("validation_passed", "boolean")),
         "last_error": F.when(failed, F.concat(F.lit("compile: "), "result.compile_errors")).otherwise(had("last_error", "string")),

@@ -2,7 +2,8 @@
 
 Texts are listed by their grams (pieces of ``size`` characters). A name can only stand in a text that has the rarest of its
 grams, so it meets the texts of that one list, and the pairs are compared in full. Names shorter than a gram use
-themselves. Long lists are dealt over several tasks.
+themselves. Long lists are dealt over several tasks. All sides of the joins grow with the names and texts, so they are
+merged: a side just small enough to be broadcast would be held by the driver.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ def contained(names: DataFrame, texts: DataFrame, name: str = "name", text: str
     lengths = listed.groupBy("gram").agg(F.count("*").alias("n"))
     own = F.when(F.length("name") < size, F.array("name")).otherwise(grams(F.col("name"), size))
     # a name without any text for one of its grams has none at all
-    sought = names.select("name", F.size(own).alias("own"), F.explode(own).alias("gram")).join(lengths, "gram")
+    sought = names.select("name", F.size(own).alias("own"), F.explode(own).alias("gram")).join(lengths.hint("merge"), "gram")
     rarest = sought.groupBy("name", "own").agg(F.count("*").alias("met"), F.min(F.struct("n", "gram")).alias("least")).where("met = own")
     rarest = rarest.select("name", F.col("least.gram").alias("gram"), F.ceil(F.col("least.n") / most).cast("int").alias("hands"))
-    dealt = listed.join(rarest.select("gram", "hands").distinct(), "gram").withColumn("hand", F.pmod(F.xxhash64("text"), F.col("hands")).cast("int")).drop("hands")
+    dealt = listed.join(rarest.select("gram", "hands").distinct().hint("merge"), "gram").withColumn("hand", F.pmod(F.xxhash64("text"), F.col("hands")).cast("int")).drop("hands")
     asked = rarest.select("name", "gram", F.explode(F.sequence(F.lit(0), F.col("hands") - 1)).alias("hand"))
-    return asked.join(dealt, ["gram", "hand"]).where(F.contains("text", "name")).select("name", "text")
+    return asked.join(dealt.hint("merge"), ["gram", "hand"]).where(F.contains("text", "name")).select("name", "text")

@@ -200,3 +200,39 @@ def test_assembled_files_hold_each_segment_once(spark):
     df = spark.createDataFrame(rows, "path string, start_line int, seg_ord int, migrated_code string")
     got = {r.out_file: r.content for r in M.assemble(df, "rust").collect()}
     assert got == {"a/x.rs": "one\n\ntwo", "b/x.rs": "other"}
+
+
+def test_cascade_by_stem_reads_segments_once(spark):
+    """Stems are asked for several times; the segments behind them are computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"a/f{i}.c", f"f{i}::x", "migrated") for i in range(30)]
+    segments = spark.createDataFrame(rows, "path string, segment_id string, state string").mapInArrow(count, "path string, segment_id string, state string")
+    compiled = spark.createDataFrame([("a/f2.rs", True, ""), ("a/xf29.rs", False, "bad")], "out_file string, success boolean, errors string")
+    cascade = M.compile_cascade_by_stem(segments, compiled)
+    got = {r.segment_id: r.state for r in cascade.collect()}
+    assert "Broadcast" not in cascade._jdf.queryExecution().executedPlan().toString()  # the sides grow with the input
+    assert got["f2::x"] == got["f29::x"] == "failed" and got["f3::x"] == "migrated" and len(got) == 30
+    assert seen.value == 30
+
+
+def test_tree_passed_through_in_batches(spark, tmp_path, monkeypatch):
+    """Every file is written and read again, and no batch's files stay on disk."""
+    monkeypatch.setattr(CT, "new_folder", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    rows = [(f"d{i % 3}/f{i}.c", f"int x{i};", f"let x{i};" if i % 2 else None) for i in range(40)]
+    files = spark.createDataFrame(rows, "path string, content string, migrated_code string")
+    held = []
+
+    def taken(tree):
+        held.append(tree.count())
+        return tree.select("path", "content")
+
+    got = {tuple(r) for r in CT.pass_through_tree(spark, files, "rust", taken, most=7).collect()}
+    assert got == {(f"d{i % 3}/f{i}." + ("rs" if i % 2 else "c"), f"let x{i};" if i % 2 else f"int x{i};") for i in range(40)}
+    assert sum(held) == 40 and max(held) < 20 and len(held) == 6
+    assert [f.name.split("-")[0] for f in tmp_path.iterdir()] == ["kept"]
