@@ -71,6 +71,15 @@ class Rule:
     message: Column
     details: Column | None = None
 
+    def outcome(self) -> Column:
+        """The result without its texts."""
+        return F.struct(
+            F.lit(self.name).alias("rule_name"),
+            F.coalesce(self.passed, F.lit(False)).alias("passed"),
+            F.lit(self.category).alias("category"),
+            F.when(self.passed.isNull(), "warning").otherwise(self.severity).alias("severity"),
+        )
+
     def result(self) -> Column:
         broken = self.passed.isNull()
         passed = F.coalesce(self.passed, F.lit(False))
@@ -238,6 +247,16 @@ def _check_pairs(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def results_of(pairs: DataFrame, rules: list[Rule] | tuple[str, ...], texts: bool = True) -> DataFrame:
+    """Pairs with the results of some rules (built-in ones by name), measured for these only; without the blocking flag,
+    which hangs on all rules. Without ``texts`` no messages are made."""
+    with lenient(pairs.sparkSession):
+        chosen = [r for r in built_in_rules() if r.name in rules] if isinstance(rules, tuple) else rules
+        measured = pair_measures(pairs)
+        made = F.array(*[r.result() if texts else r.outcome() for r in chosen])
+        return measured.withColumn("results", made).drop(*[c for c in measured.columns if c not in pairs.columns])
+
+
 def rule_results(checked: DataFrame, *keys: str) -> DataFrame:
     """Long form: one row per pair and rule. Filter here rather than before: a
     filter on the long rows is not pushed under the measures and run twice."""

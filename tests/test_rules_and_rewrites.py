@@ -120,3 +120,17 @@ def test_names_contained_in_texts(spark, most):
     texts = ["main.rs", "abcabc.rs", "xabx", "", None, "ñu.rs", "ñ.rs", "a", "zaz"]
     got = contained(spark.createDataFrame([(n,) for n in names * 2], "n string"), spark.createDataFrame([(t,) for t in texts * 2], "t string"), "n", "t", most=most)
     assert sorted((r.name, r.text) for r in got.collect()) == sorted((n, t) for n in names if n for t in texts if t and n in t)
+
+
+def test_results_of_some_rules_are_those_of_all(spark, sf_dir):
+    from srcloom.plans.derived import migration_pairs
+
+    pairs = migration_pairs(spark, sf_dir).where("pair_id < 100")
+    columns = ["pair_id", "rule_name", "category", "severity", "passed", "message", "details"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    every = R.rule_results(R.check_pairs(pairs), "pair_id").select(columns)
+    names = ("no_empty_output", "valid_rust_syntax")
+    some = R.results_of(pairs, names)
+    assert rows(R.rule_results(some, "pair_id").select(columns)) == rows(every.where(F.col("rule_name").isin(*names)))
+    lean = R.rule_results(R.results_of(pairs, tuple(r.name for r in R.built_in_rules()), texts=False), "pair_id")
+    assert rows(lean.select(columns[:5])) == rows(every.select(columns[:5]))
