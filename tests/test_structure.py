@@ -211,3 +211,29 @@ def test_time_grows_in_proportion_to_the_file(spark):
         taken.append(time.perf_counter() - start)
         assert (row.n, row.c, row.e) == (n, 3 * n, 8 * n)
     assert taken[1] < 8 * taken[0]
+
+
+def _some_files(spark, sf_dir):
+    from srcloom.plans.derived import source_files
+
+    return source_files(spark, sf_dir).where("o_orderkey < 200")
+
+
+def test_outlines_are_those_of_the_analysis(spark, sf_dir):
+    files = _some_files(spark, sf_dir)
+    fields = ("params", "kind", "name")
+    short = SY.symbol_outlines(files, *fields)
+    assert "__braces" not in short._jdf.queryExecution().analyzed().toString()
+    whole = SY.symbol_table(SY.analyse_corpus(files)).select("path", "sym_ord", *fields)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(SY.symbol_table(short).select("path", "sym_ord", *fields)) == rows(whole) and whole.count() > 100
+    assert rows(short.select("path", "total_lines")) == rows(SY.analyse_corpus(files).select("path", "total_lines"))
+
+
+def test_segments_apart_need_no_others(spark, sf_dir):
+    analysed = SY.analyse_corpus(_some_files(spark, sf_dir))
+    for kind in SG.APART:
+        columns = ["path", "segment_id", "kind", "code", "start_line", "end_line"]
+        want = SG.segment_corpus(analysed).where(F.col("kind") == kind).select(columns)
+        got = SG.segment_corpus(analysed, kinds=(kind,)).select(columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
