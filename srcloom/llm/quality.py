@@ -59,7 +59,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            values = scaled(rows[i], ratios)  # anew each time: the rows are most of the driver's memory already
+            values = scaled(rows[i], ratios)  # anew each time: the rows are most of the memory already
             gradient = sign[i] * (w[rows[i]] @ values + w[-1]) - 1
             new = min(max(alpha[i] - gradient / (values @ values + 1), 0.0), cost_of[i])
             if new != alpha[i]:
@@ -93,25 +93,39 @@ def quality_model(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
             rows = [indicators(t, marks).astype(np.int32).tobytes() for t in byte_texts(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["places", "y", "turn"])
 
-    # ids may repeat among documents: the limit holds the number of rows to the bound
-    seen = (
-        sample.select("text", "y", "turn").mapInArrow(read, "places binary, y int, turn long")
-        .orderBy("turn", "places").limit(2 * per_class).toArrow()
-    )
-    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in seen.column("places")]  # views, no copies
-    y, turn = (np.array(seen.column(c).to_pylist(), np.int64) for c in ("y", "turn"))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fitted(list(batches))
+        if model is not None:
+            ratios, w, logistic, ones, zeros = model
+            fields = [ratios.tobytes(), w.tobytes(), logistic.tobytes(), ones, zeros]
+            yield pa.RecordBatch.from_arrays([pa.array([f]) for f in fields], ["ratios", "w", "logistic", "ones", "zeros"])
+
+    # ids may repeat among documents: the limit holds the number of rows to the bound, and one task fits on them, so
+    # that only the model comes to the driver
+    bounded = sample.select("text", "y", "turn").mapInArrow(read, "places binary, y int, turn long").orderBy("turn", "places").limit(2 * per_class)
+    found = bounded.coalesce(1).mapInArrow(fit, "ratios binary, w binary, logistic binary, ones long, zeros long").collect()
+    if not found:
+        return np.zeros(PLACES, np.float32), np.zeros(PLACES + 1, np.float32), np.array([0.0, 3.0])
+    ratios, w, logistic = (np.frombuffer(found[0][c], t).copy() for c, t in (("ratios", np.float32), ("w", np.float32), ("logistic", np.float64)))
+    # the sample holds the classes in other shares than the labels; the score is for the shares of the labels
+    shares = labelled_ids(labels, "quality", remainder("doc_id", modulus) != held).agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    logistic[1] += np.log(max(1, shares[0]) / max(1, shares[1])) - np.log(max(1, found[0]["ones"]) / max(1, found[0]["zeros"]))
+    return ratios, w, logistic
+
+
+def _fitted(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int] | None:
+    """(log-count ratios, weights, logistic weights, rows kept aside of label 1, of label 0); None with one class only."""
+    rows = [np.frombuffer(b.as_buffer(), np.int32) for batch in batches for b in batch.column(0)]  # views, no copies
+    y, turn = (np.array([v for batch in batches for v in batch.column(c).to_pylist()], np.int64) for c in (1, 2))
     fit = (turn % 4) != 0
     if len({*y[fit].tolist()}) < 2 or len({*y[~fit].tolist()}) < 2:
-        return np.zeros(PLACES, np.float32), np.zeros(PLACES + 1, np.float32), np.array([0.0, 3.0])
+        return None
     chosen = np.flatnonzero(fit)
     ratios = log_count_ratios([rows[i] for i in chosen], y[chosen])
     w = dual_descent([rows[i] for i in chosen], y[chosen], ratios)
     aside = np.flatnonzero(~fit)
     logistic = logistic_fit(np.array([[margin(rows[i], ratios, w)] for i in aside]), y[aside].astype(float), ridge=1e-2)
-    # the sample holds the classes in other shares than the labels; the score is for the shares of the labels
-    shares = labelled_ids(labels, "quality", remainder("doc_id", modulus) != held).agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
-    logistic[1] += np.log(max(1, shares[0]) / max(1, shares[1])) - np.log(max(1, y[aside].sum()) / max(1, (1 - y[aside]).sum()))
-    return ratios.astype(np.float32), w.astype(np.float32), logistic
+    return ratios.astype(np.float32), w.astype(np.float32), logistic, int(y[aside].sum()), int((1 - y[aside]).sum())
 
 
 def margin(row: np.ndarray, ratios: np.ndarray, w: np.ndarray) -> float:

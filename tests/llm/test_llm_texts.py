@@ -165,6 +165,18 @@ def test_quality_separates(docs, labels):
     assert right > 0.85
 
 
+def test_quality_sample_stays_off_the_driver(docs, labels, monkeypatch):
+    """A task fits on the sample; only the model comes to the driver."""
+    def refuse(self):
+        raise AssertionError("rows of the sample on the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    ratios, w, logistic = Q.quality_model(docs, labels)
+    assert ratios.shape == (Q.PLACES,) and w.any() and logistic.shape == (2,)
+    one_class = labels.where("quality = 1")
+    assert not Q.quality_model(docs, one_class)[1].any()
+
+
 def test_indicators_are_the_set_of_ngrams():
     marks = np.zeros(Q.PLACES, bool)
     one = Q.indicators(b"abcabc", marks)
