@@ -237,3 +237,49 @@ def test_segments_apart_need_no_others(spark, sf_dir):
         want = SG.segment_corpus(analysed).where(F.col("kind") == kind).select(columns)
         got = SG.segment_corpus(analysed, kinds=(kind,)).select(columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+ODD_FILES = [
+    ("a.cpp", "cpp", CPP), ("a.cob", "cobol", COBOL),
+    ("b.cpp", "cpp", "struct A {\n int x;\n};\nclass A {\n};\nint A(int b) {\n return b;\n}\nenum E { X };\nenum E { Y };\n"),
+    ("c.java", "java", "import a.b;\n" + "\n" * 25 + "class C {\n  public int f(int a) { return a; }\n  private void g() {\n"),
+    ("d.java", "java", "}\n" + " \n" * 30 + "public class D extends B implements I, J {\n}\n class D {\n}\npublic int D(int a) {\n}\n"),
+    ("e.rs", "rust", "use a::b;\npub struct R;\nfn f(a: i32) -> i32 { a }\nstruct Q {\n x: i32,\n}\nfn Q() { }\n"),
+    ("f.cob", "cobol", "      \n\n       A.\n\n       END-IF.\n       B.\n\n\n"),
+    ("g.cpp", "cpp", "\u0001int limit = 1;\nint other\n = 2;\n\u0002struct S {\nint f(int a) {\n}\n};\nother = 3;\n"),
+    ("h.rs", "rust", "".join(f"fn f{i % 40}(a: i32) {{\n}}\n\n" for i in range(90))),
+    ("i.txt", "unknown", "class X {}"), ("j.cpp", "cpp", ""), ("k.cpp", "cpp", None), ("l.java", "java", "import\tx;\nclass"),
+]
+
+
+def _odd_files(spark):
+    rows = [(p, p.split(".")[0], lang, text) for p, lang, text in ODD_FILES]
+    return spark.createDataFrame(rows, "path string, stem string, language string, content string")
+
+
+def test_segments_of_kinds_come_from_spans(spark, sf_dir):
+    columns = ["path", "segment_id", "kind", "code", "start_line", "end_line"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    for files in (_odd_files(spark), _some_files(spark, sf_dir)):
+        spans = SY.analyse_corpus(files, scored=False)
+        whole = SG.segment_corpus(SY.analyse_corpus(files))
+        for kinds in (("struct", "class"), ("function",), ("enum",)):
+            want = whole.where(F.col("kind").isin(*kinds))
+            assert rows(SG.segment_corpus(spans, kinds=kinds).select(columns)) == rows(want.select(columns)) and want.count()
+            assert rows(SG.segment_corpus(SY.analyse_corpus(files), kinds=kinds).drop("seg_ord")) == rows(want.drop("seg_ord"))
+
+
+def test_names_of_segments_without_their_code(spark, sf_dir):
+    for files in (_odd_files(spark), _some_files(spark, sf_dir)):
+        names = SG.segment_names(F.col("content"), F.col("imports"), F.col("global_vars"), F.col("symbols"))
+        got = SY.analyse_corpus(files, scored=False).withColumn("names", names)
+        want = SG.with_segments(SY.analyse_corpus(files)).withColumn("names", F.col("segments.id_part"))
+        rows = lambda df: sorted(map(str, df.select("path", "total_lines", SY.context_text(), "names").collect()))
+        assert rows(got) == rows(want)
+
+
+def test_queries_of_spans_look_for_no_branches(spark, sf_dir):
+    from srcloom.plans import catalogue
+
+    plan = catalogue.QUERIES["container_segments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "EVALUATE" not in plan and "import |use " not in plan and SY.CPP_RECORD in plan

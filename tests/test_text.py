@@ -103,3 +103,15 @@ def test_path_parts(spark):
 def test_split_list_drops_empty_parts(spark):
     got = spark.range(1).select(T.split_list(F.lit(" int a, map<int, int> b,, ")).alias("p")).first().p
     assert got == ["int a", "map<int", "int> b"]
+
+
+def test_match_table_by_pieces_and_by_lines(spark):
+    """Few and many matches, texts that hold the marks themselves, matches over several lines and at both ends."""
+    import re
+
+    texts = ["", "ab", "\n\nab\nx ab ab\n", "a\n\nb\nab", "\u0001ab\n\u0002ab", "x\n" + "ab\n\n" * 80, "$0 \\ab\n$1ab", None, "ab\n" * 32, "ab\n" * 33]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    for r in df.select("id", T.match_table(F.col("content"), "a\\s*b").alias("m")).collect():
+        text = texts[r.id]
+        want = None if text is None else [(m[0], text[: m.start()].count("\n") + 1) for m in re.finditer(r"a\s*b", text)]
+        assert r.m == want if want is None else [tuple(x) for x in r.m] == want
