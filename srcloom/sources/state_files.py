@@ -7,7 +7,7 @@ tasks walk the folders themselves; others by Spark's own reader.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,24 +34,29 @@ SUPERVISED = (
 _CORRUPT = "_corrupt_record"
 
 
-def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """Snapshots of one layout. Unknown keys are ignored, corrupt files dropped."""
-    shape = T.StructType.fromDDL(schema).add(_CORRUPT, T.StringType())
-    if name.startswith("."):
-        files = read_tree(spark, root, names=name).select(
+def _files(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    if any(name.startswith(".") for name in names):
+        return read_tree(spark, root, names=",".join(names)).select(
             F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"), F.col("mtime").alias("modificationTime"), "content"
         )
-    else:
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-            .load(root)
-        )
-    parsed = F.from_json(
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "{" + ",".join(names) + "}" if len(names) > 1 else names[0]).load(root)
+    )
+
+
+def _parsed(schema: str) -> Column:
+    shape = T.StructType.fromDDL(schema).add(_CORRUPT, T.StringType())
+    return F.from_json(
         F.make_valid_utf8(F.col("content").cast("string")), shape,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
     )
+
+
+def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Snapshots of one layout. Unknown keys are ignored, corrupt files dropped."""
     return (
-        files.select("path", F.col("modificationTime").alias("mtime"), parsed.alias("s"))
+        _files(spark, root, name).select("path", F.col("modificationTime").alias("mtime"), _parsed(schema).alias("s"))
         .select("path", "mtime", "s.*").where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
     )
 
@@ -64,6 +69,17 @@ def read_supervised(spark: SparkSession, root: str, name: str = SUPERVISED_NAME)
     return _read(spark, root, name, SUPERVISED)
 
 
+def read_layouts(spark: SparkSession, root: str, plain: str = PLAIN_NAME, supervised: str = SUPERVISED_NAME) -> DataFrame:
+    """Snapshots of both layouts in one walk over the tree: path, mtime, ``is_supervised`` and a struct of each layout, the other one null."""
+    is_supervised = F.col("path").endswith("/" + supervised)
+    rows = _files(spark, root, plain, supervised).select(
+        "path", F.col("modificationTime").alias("mtime"), is_supervised.alias("is_supervised"),
+        F.when(~is_supervised, _parsed(PLAIN)).alias("plain"), F.when(is_supervised, _parsed(SUPERVISED)).alias("supervised"),
+    )
+    sound = rows.where(F.coalesce(f"plain.{_CORRUPT}", f"supervised.{_CORRUPT}").isNull())
+    return sound.withColumns({x: F.col(x).dropFields(_CORRUPT) for x in ("plain", "supervised")})
+
+
 def state_segments(plain: DataFrame) -> DataFrame:
     return plain.select(
         F.col("project_name").alias("project"), F.explode_outer("segments").alias("segment_key", "s")

@@ -236,3 +236,54 @@ def test_tree_passed_through_in_batches(spark, tmp_path, monkeypatch):
     assert got == {(f"d{i % 3}/f{i}." + ("rs" if i % 2 else "c"), f"let x{i};" if i % 2 else f"int x{i};") for i in range(40)}
     assert sum(held) == 40 and max(held) < 20 and len(held) == 6
     assert [f.name.split("-")[0] for f in tmp_path.iterdir()] == ["kept"]
+
+
+def test_wide_folders_are_cut_into_shares(spark, tmp_path, monkeypatch):
+    """The driver holds no wide level; shares of a folder have all its files and folders once."""
+    root = tmp_path / "wide"
+    want = set()
+    for i in range(60):
+        folder = root / f"n{i % 3}" / f"p{i}" / "deep"
+        folder.mkdir(parents=True)
+        for path in (folder / ".x", folder.parent / "y", root / f"n{i % 3}" / f"f{i}", root / "top"):
+            path.write_text("t")
+            want.add(str(path.relative_to(root)))
+    monkeypatch.setattr(FT, "WIDE", 10)
+    parts = FT.TreeReader({"path": str(root), "spread": "8"}).partitions()
+    held = [s for p in parts for s in p.starts]
+    assert len(parts) == 8 and len(held) == 1 + 3 * 3 and {s.folder for s in held} == {str(root), *(f"{root}/n{i}" for i in range(3))}
+    reader = FT.TreeReader({"path": str(root), "spread": "8"})
+    got = [path for p in parts for b in reader.read(p) for path in b.column("path").to_pylist()]
+    assert sorted(got) == sorted(want)
+    one = FT.TreeReader({"path": str(root / "n0"), "spread": "8"})
+    found = [path for p in one.partitions() for b in one.read(p) for path in b.column("path").to_pylist()]
+    assert sorted(found) == sorted(x.removeprefix("n0/") for x in want if x.startswith("n0/"))
+
+
+def test_a_small_table_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The rows are dealt by path first: one task that reads a table does not write all of its files."""
+    files = spark.range(200).coalesce(1).selectExpr("concat('d', id, '/f') as path", "cast(id as string) as content")
+    asked = []
+    frame = type(files)
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: asked.append(by) or repartition(self, *by))
+    root = str(tmp_path / "out")
+    FT.write_tree(files, root)
+    assert asked == [(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")]
+    assert FT.read_tree(spark, root).select(F.col("content").cast("string")).distinct().count() == 200
+
+
+def test_both_layouts_come_in_one_walk(spark, tmp_path):
+    for i, (name, text) in enumerate([
+        (SF.HIDDEN_NAMES[0], '{"project_name": "a", "state": "DONE", "total_segments": 3, "more": 1}'), (SF.HIDDEN_NAMES[1], '{"client": {"name": "b"}, "execution": {"status": "OK"}}'),
+        (SF.HIDDEN_NAMES[0], "{broken"), (SF.HIDDEN_NAMES[1], "[1"), (SF.HIDDEN_NAMES[0], "{}"), ("other.json", "{}"), (SF.HIDDEN_NAMES[1], ""),
+    ]):
+        (tmp_path / f"p{i}").mkdir()
+        (tmp_path / f"p{i}" / name).write_text(text)
+    both = SF.read_layouts(spark, str(tmp_path), *SF.HIDDEN_NAMES)
+    for name, is_supervised, alone in ((SF.HIDDEN_NAMES[0], False, SF.read_plain), (SF.HIDDEN_NAMES[1], True, SF.read_supervised)):
+        layout = "supervised" if is_supervised else "plain"
+        got = both.where(F.col("is_supervised") == is_supervised).select("path", "mtime", f"{layout}.*")
+        assert sorted(map(str, got.collect())) == sorted(map(str, alone(spark, str(tmp_path), name).collect())) != []
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
