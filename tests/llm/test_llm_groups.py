@@ -15,7 +15,7 @@ from srcloom.llm import minhash as M
 from srcloom.llm import mixing as X
 from srcloom.llm import repeats as R
 from srcloom.llm import sharding as S
-from srcloom.llm.common import components, numbered, running_sum, span_hashes
+from srcloom.llm.common import components, meet, numbered, running_sum, span_hashes
 from srcloom.llm.queries import ORACLES, QUERIES
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, shard int, copies long, row string, size long"
@@ -225,6 +225,53 @@ def test_repeats_against_brute_force(spark, most):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_large_keys_stay_where_they_are(spark):
+    """A plain join brings the rows of the large key into one partition."""
+    rows = spark.range(0, 40_000, 1, 8).select((F.col("id") % 4 > 0).cast("long").alias("a"), F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id")).alias("b"))
+    found = rows.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("odd", F.col("b") % 2 == 1)
+    largest = lambda df: df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert largest(rows.join(found, ["a", "b"])) >= 30_000
+        assert largest(meet(rows, found, ["a", "b"], "n")) < 10_000
+        assert meet(rows, found, ["a", "b"], "n").exceptAll(rows.join(found, ["a", "b"])).count() == 0
+        assert meet(rows, found.where("odd"), ["a", "b"], "n").count() == 30_000
+        assert meet(rows, found.where("n < 2"), ["a", "b"], "n", hot=10).count() == 10_000
+        assert meet(rows.limit(0), found.limit(0), ["a", "b"], "n").count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_repeats_of_common_lines_and_copies(spark):
+    """One line that stands many times in most texts, and one text with very many copies."""
+    rng = np.random.default_rng(31)
+    word = lambda n: "".join(chr(c) for c in rng.choice([97, 98, 99, 100, 228, 32], n))
+    line, copied = word(20), word(150)
+    texts = [word(int(rng.integers(0, 60))) + line * int(rng.integers(0, 12)) + word(int(rng.integers(0, 60))) for _ in range(60)]
+    texts += [copied] * 1100 + [word(30) + copied[20:110] + word(30), "", None] + ["short"] * 40
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in R.cut_repeats(frame, length=48, gram=16, block=500).collect()}
+    want = repeats([(t or "").encode() for t in texts], 48)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_planted_passages_are_told_by_removed_bytes(spark):
+    """Passages of over 50 words go if they have the 400 bytes of the contract; ``n_bytes`` is the size of the input."""
+    rng = np.random.default_rng(41)
+    words = lambda n, low, high: " ".join("".join(chr(c) for c in rng.integers(97, 123, rng.integers(low, high))) for _ in range(n))
+    long, short = words(60, 7, 11), words(55, 3, 6)
+    assert len(long) >= 400 > len(short) + 2
+    texts = [words(40, 3, 9) + (f" {long} ", f" {short} ", " ")[i % 3] + words(40, 3, 9) for i in range(30)]
+    rows = R.cut_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: tuple(r)[1:] for r in rows}
+    assert [got[i] for i in range(len(texts))] == repeats([t.encode() for t in texts], 400)
+    assert all((got[i][1] >= len(long)) == (i % 3 == 0) and (got[i][1] > 0) == (i % 3 == 0) for i in got)
+    assert all(got[i][0] == len(t) for i, t in enumerate(texts))
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     data = bytes(rng.integers(97, 110, 5000).tolist())
