@@ -1,5 +1,7 @@
 """Pair rules, rewrite rules and answers on single cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,30 @@ def test_names_contained_in_texts(spark, most):
     assert sorted((r.name, r.text) for r in got.collect()) == sorted((n, t) for n in names if n for t in texts if t and n in t)
 
 
+def test_names_with_one_beginning_meet_few_texts(spark, monkeypatch):
+    """Numbered names share their grams: what is compared grows with the pairs, not with the names times the texts."""
+    from srcloom.operators import substrings as S
+
+    def listed(n):
+        kept = []
+        monkeypatch.setattr(S, "settle", lambda df: kept.append(df.cache()) or kept[0])
+        names = spark.createDataFrame([(f"f{i}",) for i in range(1, n)], "n string")
+        texts = spark.createDataFrame([(f"f{i}.rs",) for i in range(1, n)], "t string")
+        pairs = {tuple(r) for r in S.contained(names, texts, "n", "t").collect()}
+        assert pairs == {(f"f{str(i)[:k]}", f"f{i}.rs") for i in range(1, n) for k in range(1, len(str(i)) + 1)}
+        return kept[0].count() / len(pairs)
+
+    assert listed(3000) < 1.5 and listed(300) < 1.5
+
+
+def test_long_names_and_names_of_many_lengths_are_contained(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abñ") for _ in range(rng.randint(0, 150))) for _ in range(60)]
+    names = [t[i : i + n] for t in texts for i, n in [(rng.randint(0, 20), rng.randint(0, 120)) for _ in range(8)]] + ["c" * 90, "ab" * 50]
+    got = contained(spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame([(t,) for t in texts], "t string"), "n", "t", most=40)
+    assert sorted((r.name, r.text) for r in got.collect()) == sorted((n, t) for n in set(names) if n for t in set(texts) if n in t)
+
+
 def test_results_of_some_rules_are_those_of_all(spark, sf_dir):
     from srcloom.plans.derived import migration_pairs
 
