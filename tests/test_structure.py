@@ -1,6 +1,7 @@
 """Symbols and segments of small files, one language and quirk at a time."""
 
 import hashlib
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -283,3 +284,38 @@ def test_queries_of_spans_look_for_no_branches(spark, sf_dir):
 
     plan = catalogue.QUERIES["container_segments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "EVALUATE" not in plan and "import |use " not in plan and SY.CPP_RECORD in plan
+
+
+def test_index_of_a_file_matches_twin():
+    """Block ends and branches found in one pass, against a second opinion that goes over the lines."""
+    from srcloom.operators.file_analysis import Index
+    from test_text import block_end_of, complexity_of, random_text
+
+    rng = random.Random(9)
+    pieces = ["{", "}", "{", "}", "x", " ", "if ", "else", "é", "||", "&&", "|||", "iffy", "END-IF", "for(", "_if", "matché", "case", "1if"]
+    texts = [random_text(rng, rng.randint(1, 30), pieces) for _ in range(300)] + ["", "}\n{\n}\n}", "{\n" * 30, "}\n" * 3 + "{}" * 9]
+    for text in texts:
+        lines, idx = text.split("\n"), Index(text)
+        assert idx.n_lines == len(lines)
+        for start in range(1, len(lines) + 1):
+            end = idx.block_end(start)
+            assert end == block_end_of(lines, start) and idx.complexity(start, end) == complexity_of(lines, start, end), (text, start)
+
+
+def test_classes_are_found_around_their_word():
+    from srcloom.operators.file_analysis import class_heads, compiled
+
+    rng, pattern = random.Random(10), compiled(SY.JAVA_CLASS)
+    pieces = ["class ", "class", "A", " ", "\n", "public", "private ", "abstract ", "final", "{", "extends B", " implements C, D", "x", "protected\t", "classclass "]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        assert [m.span() for m in class_heads(pattern, text)] == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_whole_segments_are_made_in_two_passes_over_a_file(spark, sf_dir):
+    """Scored symbols and their segments come from no expression over lines, braces or matches, and each is made once."""
+    from srcloom.plans import catalogue
+
+    for name in ("segments", "most_complex_segment", "assembled_files", "compile_cascade"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 2 and SY.CPP_RECORD not in plan and "EVALUATE" not in plan
