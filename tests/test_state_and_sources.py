@@ -238,6 +238,18 @@ def test_tree_passed_through_in_batches(spark, tmp_path, monkeypatch):
     assert [f.name.split("-")[0] for f in tmp_path.iterdir()] == ["kept"]
 
 
+def test_batches_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """The reader counts 4 MB for a file, so 32 files were a task; the setting is put back."""
+    monkeypatch.setattr(CT, "new_folder", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    files = spark.createDataFrame([(f"d{i % 3}/f{i}.c", f"é {i}" * (i % 2), None) for i in range(1500)], "path string, content string, migrated_code string")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    got = CT.pass_through_tree(spark, files, "rust", lambda tree: tree.select("path", "content", F.spark_partition_id().alias("task")), most=800).collect()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    # empty files are left out by the scanner
+    assert sorted((r.path, r.content) for r in got) == sorted((f"d{i % 3}/f{i}.c", f"é {i}") for i in range(1, 1500, 2))
+    assert len({r.task for r in got}) <= 8
+
+
 def test_wide_folders_are_cut_into_shares(spark, tmp_path, monkeypatch):
     """The driver holds no wide level; shares of a folder have all its files and folders once."""
     root = tmp_path / "wide"
